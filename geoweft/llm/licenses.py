@@ -180,7 +180,13 @@ def distinct_labels(items: Column, start: Column) -> Column:
 
 
 def _table(items: list[Rule]) -> Column:
-    return F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.array(*map(F.lit, r.keywords)).alias("keywords"), F.lit(r.priority).alias("priority"), F.lit(r.weight).alias("weight")) for r in items))
+    """The rules as one constant array, which Spark's optimizer folds."""
+
+    def quoted(x: str) -> str:
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    rows = (f"named_struct('label', {quoted(r.label)}, 'pattern', {quoted(r.pattern)}, 'keywords', array({', '.join(map(quoted, r.keywords))}), 'priority', {r.priority}, 'weight', {r.weight}D)" for r in items)
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def license_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: list[Rule] | None = None) -> DataFrame:
