@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +82,7 @@ def _local_stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forest.union(a, b)
     pairs = list(forest.stars())
     for k in range(0, len(pairs), 100_000):
-        part = pairs[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64())], ["u", "v"])
+        yield edge_batch(pairs[k : k + 100_000])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -107,3 +108,36 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select("v", "m").union(least.select("u", "m")).distinct().toDF("u", "v")
         now = table(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
+    """The rows of each key, which stand together in sorted batches, as one table; keys with fewer than least rows are left out."""
+    held: list[pa.RecordBatch] = []
+
+    def split(part: pa.Table, last: bool) -> Iterator[pa.Table]:
+        nonlocal held
+        changed = np.zeros(max(0, part.num_rows - 1), bool)
+        for key in keys:
+            a = part.column(key).combine_chunks()
+            changed |= pc.fill_null(pc.not_equal(a[1:], a[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(a[1:]).to_numpy(zero_copy_only=False) != pc.is_null(a[:-1]).to_numpy(zero_copy_only=False))
+        cuts = np.r_[0, np.flatnonzero(changed) + 1, part.num_rows]
+        sizes = np.diff(cuts)
+        end = len(sizes) if last else len(sizes) - 1
+        for k in np.flatnonzero(sizes[:end] >= least):
+            yield part.slice(int(cuts[k]), int(sizes[k]))
+        held = [] if last else part.slice(int(cuts[-2])).to_batches()
+
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows = sum(b.num_rows for b in held)
+        # a long run is looked through again only when it has doubled
+        if batch.num_rows and rows >= 2 * (rows - batch.num_rows) or len(held) > 64:
+            yield from split(pa.Table.from_batches(held), False)
+    if held and sum(b.num_rows for b in held):
+        yield from split(pa.Table.from_batches(held), True)
+
+
+def edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    """Rows u, v of two longs."""
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["u", "v"])

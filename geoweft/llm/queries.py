@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweft.llm import langid, licenses, mixing, secrets, tiff, tokens
+from geoweft.llm import langid, licenses, mixing, secrets, simhash, tiff, tokens, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_features(_read(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_read(spark, sf_dir, "documents")).drop("detections")
 
@@ -37,6 +45,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_source_mix, op5_language_id, op6_media_tiff, op8_license_scan, op9_secret_scan, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op3_source_mix, op5_language_id, op6_media_tiff, op7_embedding_near_dedup, op8_license_scan, op9_secret_scan, op10_token_counts)}
 
 ORACLES: dict[str, str] = {"op3_source_mix": mixing.ORACLE}
