@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweft.llm import langid, licenses, mixing, secrets, simhash, tiff, tokens, vectors
+from geoweft.llm import langid, licenses, lines, mixing, packing, secrets, simhash, tiff, tokens, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,18 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_classes(_read(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(_read(spark, sf_dir, "documents"))
 
@@ -45,6 +53,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op3_source_mix, op5_language_id, op6_media_tiff, op7_embedding_near_dedup, op8_license_scan, op9_secret_scan, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_line_dedup, op3_source_mix, op4_best_fit_packing, op5_language_id, op6_media_tiff, op7_embedding_near_dedup, op8_license_scan, op9_secret_scan, op10_token_counts)}
 
 ORACLES: dict[str, str] = {"op3_source_mix": mixing.ORACLE}
