@@ -206,6 +206,8 @@ def line_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 def without_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """All rows and columns of documents, with the lines gone that line_classes doesn't keep; a text may become empty, but no row goes."""
     gone = line_classes(documents, id_col, text_col, similarity).where(~F.col("kept")).groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line").alias("_lines"))
-    joined = documents.join(table(gone), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, k: ~F.array_contains(F.col("_lines"), k)), "\n")
-    return joined.select(*(F.when(F.col("_lines").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in documents.columns))
+    gone = table(gone)
+    text, numbers = documents[text_col], gone["_lines"]
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(numbers, k)), "\n")
+    joined = documents.join(gone, documents[id_col].cast("long").eqNullSafe(gone["_id"]), "left")
+    return joined.select(*(F.when(numbers.isNull(), text).otherwise(kept).alias(c) if c == text_col else documents[c] for c in documents.columns))

@@ -172,4 +172,4 @@ def one_of_each(documents: DataFrame, id_col: str = "doc_id", **options) -> Data
     """The rows of documents, all columns, that aren't near copies of a row with a smaller id; rows that repeat an id share its fate, rows with a null id stay."""
     gone = near_duplicates(documents, id_col, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
     gone = table(gone.distinct())
-    return documents.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return documents.join(gone, documents[id_col] == gone["_gone"], "left_anti")
