@@ -96,6 +96,22 @@ class Slots:
         return self.sequence[at] + within // self.each[at], self.offset[at] + within % self.each[at] * length
 
 
+def plain(text: str) -> str:
+    """A text with the same tokens and more equal parts: in lower case, with spaces for line feeds.
+
+    The tokenizer itself lowers case and drops white space. Special strings are found before it does, so a text that may hold one stays as it is, and so does
+    one with characters beyond Latin-1, where composing and lower case depend on more than one character.
+    """
+    if "<|" in text:
+        return text
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower().replace("\n", " ")
+
+
 class Encoder:
     """Token ids of whole texts as little-endian bytes, exactly as one call of the tokenizer gives them.
 
@@ -106,14 +122,35 @@ class Encoder:
         self.tokenizer, self.known = load(path), {}
 
     def learn(self, texts: list[str]) -> list[list[str]]:
-        parts = [x.split(" ") for x in texts]
+        """The parts of the texts, all of them known afterwards."""
+        parts = [plain(x).split(" ") for x in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [x for x in set().union(*parts) if x not in self.known]
-        for group in _chunks(new):
+        known = self.known
+        new = [x for x in set().union(*parts) if x not in known]
+        # a word and a stop after it are two pieces for the tokenizer
+        stopped = [x for x in new if x[-1:] in (",", ".") and x[:-1].isalpha()]
+        words = {x[:-1] for x in stopped} | {x for x in new if x.isalpha()}
+        self._words([x for x in words if x not in known])
+        self._others([x for x in [*new, ",", "."] if x not in known and not (x[-1:] in (",", ".") and x[:-1].isalpha())])
+        known.update((x, known[x[:-1]] + known[x[-1]]) for x in stopped)
+        return parts
+
+    def _others(self, parts: list[str]) -> None:
+        for group in _chunks(parts):
             for x, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
                 self.known[x] = np.array(e.ids, "<u4").tobytes()
-        return parts
+
+    def _words(self, words: list[str]) -> None:
+        """Words of letters alone, many at a time: each is one piece, and the tokenizer tells the piece of each token."""
+        groups = [words[k : k + 500] for k in range(0, len(words), 500)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            piece, ids = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4").tobytes()
+            cuts = [*(4 * np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])).tolist(), len(ids)]
+            if len(cuts) == len(group) + 1:
+                self.known.update((x, ids[a:b]) for x, a, b in zip(group, cuts, cuts[1:], strict=False))
+            else:  # a word that is more than one piece for the tokenizer
+                self._others(group)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for group in _chunks_of(texts):
