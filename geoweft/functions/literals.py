@@ -203,3 +203,24 @@ def bucket_color(bucket: Column, buckets: int) -> Column:
     """From green for bucket 0 to red for the last."""
     t = bucket / max(1, buckets - 1)
     return vec(t, 1 - t, 0)
+
+# Colours 0 to 9 and 250 to 255 of the drawing colour index, and the five levels of brightness between.
+ACI_FIRST = ((0, 0, 0), (255, 0, 0), (255, 255, 0), (0, 255, 0), (0, 255, 255), (0, 0, 255), (255, 0, 255), (255, 255, 255), (65, 65, 65), (128, 128, 128))
+ACI_GREY, ACI_LEVELS = (51, 80, 105, 130, 190, 255), (255, 189, 129, 104, 79)
+
+
+def aci_rgb(index: Column) -> Column:
+    """(r, g, b) from 0 to 255 of a colour index: 24 hues of 15 degrees in five levels, odd ones paler by two thirds of white. Null beyond 0 to 255."""
+    step = F.floor(index / 10) - 1
+    level = F.get(F.array(*map(F.lit, ACI_LEVELS)), F.floor((index % 10) / 2).cast("int")).cast("double")
+    low = F.when(index % 2 == 1, level * 2 / 3).otherwise(0.0)
+
+    def channel(turn: int) -> Column:
+        # a hue's share of one colour: full near its own third of the circle, none on the far side, in quarters between
+        away = F.abs((step + turn) % 24 - 12)
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (away - 4) / 4))
+        return F.round(low + (level - low) * share)
+
+    hue = F.array(channel(0), channel(16), channel(8))
+    table = lambda rows, at: F.get(F.array(*(vec(*r) for r in rows)), at.cast("int"))
+    return F.when(index < 0, None).when(index < 10, table(ACI_FIRST, index)).when(index < 250, hue).when(index <= 255, table([(g, g, g) for g in ACI_GREY], index - 250))

@@ -60,3 +60,15 @@ def overlapping_boxes(boxes: DataFrame, others: DataFrame, cell: float, key: str
         test &= (F.col(f"a.{c}min") <= F.col(f"b.{c}max")) & (F.col(f"b.{c}min") <= F.col(f"a.{c}max"))
         first &= F.col(f"c{c}") == F.floor(F.greatest(f"a.{c}min", f"b.{c}min") / cell).cast("long")
     return joined.where(test & first).select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
+
+
+def thin_by_overlap(images: DataFrame, by: str, order: str, ground: float, overlap: float, fov: float = 94.0) -> DataFrame:
+    """Images kept when each must be farther from the last kept one, in the xy plane, than the overlap allows.
+
+    The overlap is a share of the mean width that the images of a group see at the ground. The choice of each image depends on the one before, so a group is
+    folded in order as one array; groups are independent.
+    """
+    rows = images.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "x", "y"))).alias("r"), (F.avg(F.col("z") - ground) * 2 * F.tan(F.radians(F.lit(fov / 2))) * overlap).alias("d"))
+    far = lambda a, b, d: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])) > d
+    kept = F.aggregate(F.slice("r", 2, F.size("r")), F.slice("r", 1, 1), lambda s, x: F.when(far(F.element_at(s, -1), x, F.col("d")), F.concat(s, F.array(x))).otherwise(s))
+    return rows.select(by, F.explode(kept).alias("k")).select(by, F.col("k.o").alias(order))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geoweft.functions import geometry as G
 from geoweft.functions import linalg as L
 from geoweft.functions import literals as X
-from geoweft.operators import generate, joins, measures, select, space
+from geoweft.operators import generate, joins, kernels, measures, raster, select, space
 from geoweft.operators import triples as rdf
 from geoweft.plans.inputs import BOXES, CELLS, POINTS, TRIPLES, boxes, cells, points, read, triples
 
@@ -506,3 +506,98 @@ def set_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
     m = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("n_regionkey").cast("long").alias("parent"), (F.col("s_suppkey") % 13).cast("double").alias("x"))
     return m.groupBy("parent").agg(F.count(F.lit(1)).alias("members"), F.min("x").alias("xmin"), F.max("x").alias("xmax"))
+
+
+# hulls, normals, rasters, colours
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return points(spark, sf_dir).select(F.col("label").cast("string").alias("subject"), "id", "x", "y", "z")
+
+
+@query()
+def convex_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.hulls(labelled(spark, sf_dir)).select("subject", F.size("vertices").alias("n"), r6("volume").alias("volume"))
+
+
+@query()
+def oriented_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.oriented_boxes(labelled(spark, sf_dir)).select("subject", F.transform("box", lambda v: F.round(v, 6)).alias("box"))
+
+
+@query()
+def point_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(kernels.normals(points(spark, sf_dir), 0.1), "nx", "ny", "nz")
+
+
+@query("SELECT DISTINCT s AS subject, least(u, v) AS u, greatest(u, v) AS v FROM (SELECT p_size AS s, unnest([p_partkey % 50, p_partkey % 31 + 50, p_partkey % 17 + 90]) AS u, unnest([p_partkey % 31 + 50, p_partkey % 17 + 90, p_partkey % 50]) AS v FROM part)")
+def mesh_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return generate.mesh_edges(read(spark, sf_dir, "part").select(F.col("p_size").alias("subject"), (k % 50).alias("a"), (k % 31 + 50).alias("b"), (k % 17 + 90).alias("c")))
+
+
+PIXELS = "px AS (SELECT p_size AS subject, (p_partkey // 40)::BIGINT AS row, p_partkey % 40 AS col, (p_partkey * 7 % 11) % 3 AS value FROM part)"
+
+
+@query(f"""WITH {PIXELS}, w AS (SELECT a.subject, a.row, a.col, b.value, count(*) AS n FROM px a JOIN px b ON a.subject = b.subject AND b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1 GROUP BY ALL)
+SELECT subject, row, col, arg_min(value, (-n, value)) AS value FROM w GROUP BY subject, row, col""")
+def majority_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    px = read(spark, sf_dir, "part").select(F.col("p_size").alias("subject"), F.floor(k / 40).alias("row"), (k % 40).alias("col"), (k * 7 % 11 % 3).alias("value"))
+    return raster.majority(px)
+
+
+@query("SELECT l_suppkey AS subject, (l_orderkey % 32)::INT AS row, (l_partkey % 64)::INT AS col, min(l_quantity) AS depth, arg_min(l_linenumber, (l_quantity, l_linenumber)) AS value FROM lineitem WHERE l_quantity > 0 AND l_quantity <= 15 GROUP BY ALL")
+def depth_splat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("subject"), (F.col("l_partkey") % 64 + 0.5).alias("u"), (F.col("l_orderkey") % 32 + 0.25).alias("v"), F.col("l_quantity").alias("depth"), F.col("l_linenumber").alias("value"))
+    return raster.splat(li)
+
+
+@query("SELECT o_orderkey AS id, round((o_orderkey % 640 - 320.0::DOUBLE) / 500 * (o_custkey % 50 / 10.0), 6) AS x, round((o_orderkey % 480 - 240.0::DOUBLE) / 500 * (o_custkey % 50 / 10.0), 6) AS y, round(o_custkey % 50 / 10.0::DOUBLE, 6) AS z FROM orders WHERE o_custkey % 50 > 0")
+def depth_to_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    px = read(spark, sf_dir, "orders").select(k.alias("id"), (k % 640).alias("col"), (k % 480).alias("row"), (F.col("o_custkey") % 50 / 10.0).alias("depth"))
+    return rounded(raster.depth_points(px, 500.0, 320.0, 240.0).select("id", "x", "y", "z"), "x", "y", "z")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN abs(p_size / 50.0::DOUBLE - 0.1) <= 0.01 THEN 0 WHEN abs(p_size / 50.0::DOUBLE - 0.5) <= 0.01 THEN 1 WHEN abs(p_size / 50.0::DOUBLE - 0.9) <= 0.01 THEN 2 END::INT AS mask FROM part")
+def color_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 50.0).alias("value"))
+    return raster.masks(px, [0.1, 0.5, 0.9]).select("id", "mask")
+
+
+@query("SELECT s_suppkey AS id, [[0,0,0],[255,0,0],[255,255,0],[0,255,0],[0,255,255],[0,0,255],[255,0,255],[255,255,255],[65,65,65],[128,128,128]][(s_suppkey % 10 + 1)::INT][1]::DOUBLE AS r, [[0,0,0],[255,0,0],[255,255,0],[0,255,0],[0,255,255],[0,0,255],[255,0,255],[255,255,255],[65,65,65],[128,128,128]][(s_suppkey % 10 + 1)::INT][3]::DOUBLE AS b FROM supplier")
+def aci_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "supplier").withColumn("c", X.aci_rgb(F.col("s_suppkey") % 10))
+    return c.select(F.col("s_suppkey").alias("id"), F.col("c")[0].alias("r"), F.col("c")[2].alias("b"))
+
+
+@query()
+def image_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    images = o.select((F.col("o_custkey") % 20).alias("flight"), F.col("o_orderkey").alias("image"), (F.col("o_orderkey") % 100).cast("double").alias("x"), (F.col("o_custkey") % 100).cast("double").alias("y"), (F.col("o_totalprice") / 10_000).alias("z"))
+    return select.thin_by_overlap(images, "flight", "image", 0.0, 0.5)
+
+
+@query("SELECT p_partkey AS id, CASE WHEN h >= 24 THEN 4 WHEN h >= 12 THEN 3 WHEN h >= 6 THEN 2 ELSE 1 END::INT AS bucket FROM (SELECT p_partkey, p_size::DOUBLE AS h FROM part)")
+def color_by_height(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("z"))
+    return space.by_height(p, (6.0, 12.0, 24.0)).select("id", (F.col("band") + 1).alias("bucket"))
+
+
+@query("SELECT doc_id AS id, len(list_filter(regexp_split_to_array(regexp_replace(text, '[\\[\\](){}''\"]', ' ', 'g'), '[\\s,;]+'), lambda x: x <> '')) AS n FROM documents WHERE text NOT LIKE '%None%'")
+def literal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").where(~F.col("text").contains("None")).select(F.col("doc_id").alias("id"), F.size(X.to_list(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END * (user_id % 90 + (user_id % 60) / 60.0::DOUBLE) AS dd FROM events")
+def gps_exif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id")
+    text = F.concat(F.lit("["), u % 90, F.lit(", "), u % 60, F.lit(", 0, "), F.when(u % 2 == 0, "N").otherwise("S"), F.lit("]"))
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), X.parse_dms(text).alias("dd"))
+
+
+@query("SELECT n_nationkey AS id, 0.4::DOUBLE * (n_nationkey % 5) / 4 + 0.6::DOUBLE * (n_nationkey % 3) / 2 AS confidence FROM nation")
+def pose_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 5 / 4.0).alias("error"), (F.col("n_nationkey") % 3 / 2.0).alias("amount"))
+    return n.select("id", measures.pose_confidence({"error": 0.4, "amount": 0.6}).alias("confidence"))

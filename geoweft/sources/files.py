@@ -189,3 +189,15 @@ def encoded_graphs(triples: DataFrame, by: str = "graph") -> DataFrame:
         return pd.DataFrame({by: [pdf[by].iloc[0]], "content": [turtle.serialize(rows)]})
 
     return triples.groupBy(by).applyInPandas(build, f"{by} string, content string")
+
+
+def building_elements(spark: SparkSession, path: str, classes: tuple[str, ...] | None = None) -> DataFrame:
+    """Records of IFC files, of the classes if given; the class is upper case as in the file."""
+    schema = "subject string, id long, class_name string, arguments array<string>, global_id string, name string, object_type string"
+
+    def parse(path: str, content: bytes) -> Iterator[pd.DataFrame]:
+        rows = [r for r in formats.read_step(content) if not classes or r["class_name"] in classes]
+        for k in range(0, len(rows), BATCH):
+            yield pd.DataFrame(rows[k : k + BATCH], dtype=object).assign(subject=path)
+
+    return read_each(spark, path, parse, schema, ("ifc",))

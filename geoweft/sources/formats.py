@@ -308,3 +308,31 @@ def read_e57_xml(data: bytes) -> list[dict]:
         bounds = [number(f"cartesianBounds/{c}{m}", float("nan")) for c in "xyz" for m in ("Minimum", "Maximum")]
         out.append({"name": scan.findtext("name"), "count": int(points.get("recordCount", 0)) if points is not None else 0, "rotation": [number(f"pose/rotation/{c}", float(c == "w")) for c in "xyzw"], "translation": [number(f"pose/translation/{c}") for c in "xyz"], "bounds": bounds})
     return out
+
+
+STEP = re.compile(r"#(\d+)\s*=\s*([A-Z0-9_]+)\s*\((.*?)\)\s*;", re.S)
+
+
+def _arguments(text: str) -> list[str]:
+    """Top-level arguments of a STEP record, quotes and parentheses kept together."""
+    out, now, depth, quoted = [], "", 0, False
+    for ch in text:
+        quoted ^= ch == "'"
+        depth += (ch == "(") - (ch == ")") if not quoted else 0
+        if ch == "," and not depth and not quoted:
+            out.append(now.strip())
+            now = ""
+        else:
+            now += ch
+    return [*out, now.strip()]
+
+
+def read_step(data: bytes) -> list[dict]:
+    """Records of a building model in STEP text: id, class, arguments, and the global id, name and object type of those that have one."""
+    out = []
+    for m in STEP.finditer(data.decode("latin-1").partition("DATA;")[2]):
+        a = _arguments(m[3])
+        text = lambda k, a=a: a[k][1:-1].replace("''", "'") if len(a) > k and a[k][:1] == "'" else None
+        rooted = len(a) > 2 and len(text(0) or "") == 22
+        out.append({"id": int(m[1]), "class_name": m[2], "arguments": a, "global_id": text(0) if rooted else None, "name": text(2) if rooted else None, "object_type": text(4) if rooted else None})
+    return out
