@@ -18,7 +18,9 @@ BINS = BANDS * ROWS
 #: Bits of the filter through which the texts of candidates are fetched; it is all that is broadcast, 8 MB at any size of input.
 FILTER_BITS = 1 << 26
 #: So many characters are hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+#: Shingle sets that a task remembers, in a worker of bounded memory; larger buckets than this aren't pruned pair by pair.
+SETS, PAIRED = 500, 64
 EMPTY = np.uint32(0xFFFFFFFF)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 #: For each bin the order in which an empty one looks for a bin to borrow from.
@@ -90,7 +92,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for n, x in parts(text.as_py()):
                 held.append((d, n, x))
                 size += len(x)
-                if size >= BLOCK:
+                if size >= BLOCK or len(held) >= 4096:
                     yield flush()
                     held, size = [], 0
     if held:
@@ -115,6 +117,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield both.filter(pa.array(keep))
 
 
+def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows band, h, bands, sorted by band: those with another row in their bucket that they share no smaller band with.
+
+    A pair of lines is compared in the bucket of the smallest band that both have, once however many they share. bands are a line's bands, sorted.
+    """
+    for bucket in runs(batches, ["band"], least=2):
+        band = bucket.column("band")[0].as_py()
+        smaller = [frozenset(b for b in x if b < band) for x in bucket.column("bands").to_pylist()]
+        if frozenset.intersection(*smaller):
+            continue
+        if len(smaller) <= PAIRED:
+            bucket = bucket.filter(pa.array([any(a.isdisjoint(b) for j, b in enumerate(smaller) if j != k) for k, a in enumerate(smaller)]))
+        yield from bucket.combine_chunks().to_batches()
+
+
 def _texts(bits: np.ndarray, spark):
     shared = spark.sparkContext.broadcast(bits)
 
@@ -141,20 +158,26 @@ def _verified(similarity: float):
 
         def shingled(h: int, line: str) -> frozenset[str]:
             if h not in sets:
-                if len(sets) > 5000:
+                if len(sets) >= SETS:
                     sets.clear()
                 sets[h] = shingles(line)
             return sets[h]
 
         for bucket in runs(batches, ["band"], least=2):
-            classes: list[list[tuple[int, frozenset[str]]]] = []
-            for h, line in zip(bucket.column("h").to_pylist(), bucket.column("line").to_pylist(), strict=True):
-                a = shingled(h, line)
-                joined = [(h, a)]
-                others = []
+            band = bucket.column("band")[0].as_py()
+            rows = bucket.column("h").to_pylist()
+            texts = bucket.column("line").to_pylist()
+            smaller = [frozenset(b for b in x if b < band) for x in bucket.column("bands").to_pylist()]
+
+            def linked(k: int, j: int) -> bool:
+                return smaller[k].isdisjoint(smaller[j]) and _similar(shingled(rows[k], texts[k]), shingled(rows[j], texts[j]), similarity) and (forest.union(rows[k], rows[j]) or True)
+
+            classes: list[list[int]] = []
+            for k, h in enumerate(rows):
+                joined, others = [k], []
                 for c in classes:
-                    # one member that is similar is enough; those already united with this line need no test
-                    if forest.find(c[0][0]) == forest.find(h) or any(_similar(a, b, similarity) and (forest.union(h, g) or True) for g, b in c):
+                    # one similar member is enough, and those already united with this line need no test
+                    if forest.find(rows[c[0]]) == forest.find(h) or any(linked(k, j) for j in c):
                         joined = c + joined
                     else:
                         others.append(c)
@@ -188,19 +211,22 @@ def line_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     nodes = table(lines.groupBy("h").agg(F.min(F.struct("id", "line")).alias("first"), F.any_value("bands").alias("bands")))
     banded = nodes.select(F.explode("bands").alias("band"), "h").repartition("band").sortWithinPartitions("band")
     candidates = table(banded.mapInArrow(_shared, "band long, h long"))
+    listed = candidates.groupBy("h").agg(F.array_sort(F.collect_list("band")).alias("bands")).select(F.explode("bands").alias("band"), "h", "bands")
+    needed = table(listed.repartition("band").sortWithinPartitions("band", "h").mapInArrow(_uncovered, "band long, h long, bands array<long>"))
     # as unsigned numbers modulo a power of two
-    words = candidates.selectExpr(f"shiftright(h & {FILTER_BITS - 1}L, 6) AS word", "shiftleft(1L, cast(h & 63L AS int)) AS bit")
+    words = needed.selectExpr(f"shiftright(h & {FILTER_BITS - 1}L, 6) AS word", "shiftleft(1L, cast(h & 63L AS int)) AS bit")
     got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.uint64)
     bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     texts = docs.select("text").mapInArrow(_texts(bits, spark), "h long, line string").groupBy("h").agg(F.any_value("line").alias("line"))
-    buckets = candidates.join(texts, "h").select("band", "h", "line").repartition("band").sortWithinPartitions("band", "h")
+    texts = texts.withColumnRenamed("h", "known")
+    buckets = needed.join(texts, F.col("h") == F.col("known")).select("band", "h", "bands", "line").repartition("band").sortWithinPartitions("band", "h")
     roots = connected_components(buckets.mapInArrow(_verified(similarity), "u long, v long"))
     named = nodes.select("h", "first").join(roots, F.col("h") == F.col("node"), "left").select("h", "first", F.coalesce("root", "h").alias("root"))
     best = named.groupBy("root").agg(F.min("first").alias("best"))
-    classes = named.join(best, "root").select("h", "best")
+    classes = named.join(best, "root").select(F.col("h").alias("member"), "best")
     place = F.struct("id", "line")
-    return lines.select("id", "line", "h").join(classes, "h").select(F.col("id").alias(id_col), "line", F.col("best.id").alias("class_id"), F.col("best.line").alias("class_line"), place.eqNullSafe(F.col("best")).alias("kept"))
+    return lines.select("id", "line", "h").join(classes, F.col("h") == F.col("member")).select(F.col("id").alias(id_col), "line", F.col("best.id").alias("class_id"), F.col("best.line").alias("class_line"), place.eqNullSafe(F.col("best")).alias("kept"))
 
 
 def without_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
