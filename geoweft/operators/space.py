@@ -48,9 +48,11 @@ def octree_split(points: DataFrame, origin: Sequence[float], size: float, depth:
     """Nodes kept when a subdivision descends until a node has between low and high points: level, node, n."""
     counts = octree_counts(points, origin, size, depth)
     fits = counts.withColumn("fits", (F.col("n") > low) & (F.col("n") < high))
-    above = fits.where("fits").select(F.col("level").alias("up"), F.col("node").alias("upper"))
-    covered = fits.where("fits").join(above, (F.col("up") < F.col("level")) & (F.expr("shiftright(node, cast(3 * (level - up) as int))") == F.col("upper")), "left_anti")
-    return covered.select("level", "node", "n")
+    kept = fits.where("fits")
+    # a node's ancestors are the leading parts of its path, so the test for one is an equi-join
+    above = kept.where("level > 1").select("level", "node", F.explode(F.sequence(F.lit(1), F.col("level") - 1)).alias("up")).withColumn("upper", F.expr("shiftright(node, 3 * (level - up))"))
+    inner = above.join(kept.select(F.col("level").alias("up"), F.col("node").alias("upper")), ["up", "upper"], "left_semi").select("level", "node").distinct()
+    return kept.join(inner, ["level", "node"], "left_anti").select("level", "node", "n")
 
 
 def subdivide(points: DataFrame, bounds: Sequence[float], parts: Sequence[int]) -> DataFrame:
@@ -124,9 +126,26 @@ def dbscan(points: DataFrame, eps: float, min_points: int, key: str = "id") -> D
     return inside.unionByName(border.withColumn("core", F.lit(False)))
 
 
+def ranked(rows: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
+    """Rows with their number (from 0) in a total order, and how many there are.
+
+    The rows are dealt to tasks by range and written; each range is numbered by itself and starts where the ranges before it end, so no task sees more than its range.
+    """
+    ranges = _written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_range", before.alias("_start"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.withColumn("_at", at).join(starts, "_range").withColumn("number", F.col("_start") + F.col("_at")).drop("_range", "_at", "_start"), ranges.count()
+
+
 def chunks(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """Rows with the number of their chunk, of n nearly equal ones in order, the first ones larger."""
-    return rows.withColumn("chunk", F.ntile(n).over(Window.orderBy(*order)))
+    """Rows with the number (from 1) of their chunk, of n nearly equal ones in order, the first ones larger."""
+    out, total = ranked(rows, order)
+    q, r = divmod(total, n)
+    k = F.col("number")
+    chunk = F.when(k < r * (q + 1), F.floor(k / (q + 1))).otherwise(r + F.floor((k - r * (q + 1)) / max(q, 1))) + 1
+    return out.withColumn("chunk", chunk.cast("int")).drop("number")
 
 
 def every_nth(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

@@ -69,7 +69,7 @@ def coverage_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {POINTS}, {NN} SELECT id, ref, round(d, 6) AS d FROM nn")
 def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, r = sides(spark, sf_dir)
-    return rounded(joins.nearest_join(q, r, 0.1), "d")
+    return rounded(joins.nearest_join(q, r, 0.2), "d")
 
 
 @query(f"""WITH {POINTS}, c AS (SELECT q.id, r.id AS ref, sqrt({D2}) AS d FROM p q, p r WHERE q.label <> 0 AND r.label = 0 AND {D2} <= 0.15::DOUBLE * 0.15),
@@ -211,7 +211,9 @@ def octree_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.octree_counts(points(spark, sf_dir), (-1.0, -1.0, -1.0), 2.0, 4)
 
 
-@query()
+@query(f"""WITH {POINTS}, c AS (SELECT floor((x + 1) / 0.125)::BIGINT AS i, floor((y + 1) / 0.125)::BIGINT AS j, floor((z + 1) / 0.125)::BIGINT AS k FROM p), m AS (SELECT {_morton_sql(4)} AS leaf FROM c WHERE i BETWEEN 0 AND 15 AND j BETWEEN 0 AND 15 AND k BETWEEN 0 AND 15),
+n AS (SELECT l.level::INT AS level, leaf >> (3 * (4 - l.level)) AS node, count(*) AS n FROM m, (SELECT unnest([1, 2, 3, 4]) AS level) l GROUP BY 1, 2), f AS (SELECT * FROM n WHERE n > 2 AND n < 100)
+SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM f u WHERE u.level < f.level AND u.node = f.node >> (3 * (f.level - u.level)))""")
 def octree_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.octree_split(points(spark, sf_dir), (-1.0, -1.0, -1.0), 2.0, 4, 2, 100)
 
