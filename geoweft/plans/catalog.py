@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geoweft.functions import geometry as G
 from geoweft.functions import linalg as L
 from geoweft.functions import literals as X
-from geoweft.operators import generate, joins, kernels, measures, raster, select, space
+from geoweft.operators import generate, joins, kernels, measures, nodes, raster, select, space
 from geoweft.operators import triples as rdf
 from geoweft.plans.inputs import BOXES, CELLS, POINTS, TRIPLES, boxes, cells, points, read, triples
 
@@ -603,3 +603,78 @@ def gps_exif(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pose_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 5 / 4.0).alias("error"), (F.col("n_nationkey") % 3 / 2.0).alias("amount"))
     return n.select("id", measures.pose_confidence({"error": 0.4, "amount": 0.6}).alias("confidence"))
+
+
+# nodes, classes, lines
+
+
+@query("WITH f AS (SELECT p_size AS s, p_partkey AS fid, [p_partkey % 40, p_partkey % 41, p_partkey % 43] AS c FROM part), e AS (SELECT s, fid, unnest(c) AS v FROM f) SELECT s AS subject, fid FROM e WHERE v % 10 BETWEEN 2 AND 7 AND v % 7 BETWEEN 1 AND 5 GROUP BY s, fid HAVING count(*) >= 2")
+def crop_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    faces = read(spark, sf_dir, "part").select(F.col("p_size").alias("subject"), k.alias("fid"), (k % 40).alias("a"), (k % 41).alias("b"), (k % 43).alias("c"))
+    vertices = faces.select("subject").distinct().withColumn("pid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(42).cast("long")))).withColumns({"x": F.col("pid") % 10, "y": F.col("pid") % 7, "z": F.lit(0)})
+    return nodes.crop_faces(faces, vertices, F.col("x").between(2, 7) & F.col("y").between(1, 5), 2).select("subject", "fid")
+
+
+@query(f"WITH {POINTS}, b AS (SELECT id, CASE WHEN x BETWEEN -0.1 AND 0.1 AND y BETWEEN -0.1 AND 0.1 AND z BETWEEN -0.1 AND 0.1 THEN 0 WHEN x BETWEEN -0.2 AND 0.3 AND y BETWEEN -0.2 AND 0.3 AND z BETWEEN -0.2 AND 0.3 THEN 1 END::INT AS box FROM p) SELECT * FROM b WHERE box IS NOT NULL")
+def crop_by_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes.first_box(points(spark, sf_dir), [(-0.1, 0.1) * 3, (-0.2, 0.3) * 3]).select("id", "box")
+
+
+@query("SELECT DISTINCT p_partkey AS id FROM part, generate_series(0, 60) g(s) WHERE floor(p_size::DOUBLE) >= 1 AND s <= floor(p_size::DOUBLE) AND p_size * (s / floor(p_size::DOUBLE)) BETWEEN 9.5 AND 11.5")
+def lines_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *(F.lit(0.0).alias(f"{c}0") for c in "xyz"), F.col("p_size").cast("double").alias("x1"), F.lit(0.0).alias("y1"), F.lit(0.0).alias("z1"))
+    return nodes.lines_in_box(lines, (9.5, 11.5, -1, 1, -1, 1), 1.0).select("id")
+
+
+@query("""WITH g AS (SELECT p_size AS subject, (p_partkey // 40)::BIGINT AS row, p_partkey % 40 AS col, CASE WHEN p_partkey % 9 > 0 THEN p_retailprice END AS depth FROM part)
+SELECT a.subject, a.row, a.col, CASE WHEN NOT EXISTS (SELECT 1 FROM g b WHERE b.subject = a.subject AND b.depth IS NULL AND abs(b.row - a.row) <= 3 AND abs(b.col - a.col) <= 3) THEN a.depth END AS depth FROM g a""")
+def remove_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    g = read(spark, sf_dir, "part").select(F.col("p_size").alias("subject"), F.floor(k / 40).alias("row"), (k % 40).alias("col"), F.when(k % 9 > 0, F.col("p_retailprice")).alias("depth"))
+    return nodes.without_edges(g, 3)
+
+
+@query("SELECT o_orderkey AS id, round((o_totalprice - min(o_totalprice) OVER w) / nullif(max(o_totalprice) OVER w - min(o_totalprice) OVER w, 0), 6) AS gray FROM orders WINDOW w AS (PARTITION BY o_custkey % 50)")
+def intensity_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("g"), "o_totalprice")
+    return rounded(nodes.scaled(o, "o_totalprice", ["g"], "gray").select("id", "gray"), "gray")
+
+
+@query("SELECT p_partkey AS id, (dense_rank() OVER (ORDER BY p_brand) - 1)::INT AS number FROM part")
+def value_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes.numbered_values(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand"), "p_brand").select("id", "number")
+
+
+@query("SELECT c AS test, o AS ref, rank FROM (SELECT o_custkey AS c, o_orderkey AS o, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)::INT AS rank FROM orders) WHERE rank <= 2")
+def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("test"), F.col("o_orderkey").alias("ref"), "o_totalprice")
+    return nodes.best_matches(o, "test", "o_totalprice", 2, "ref").select("test", "ref", "rank")
+
+
+@query("SELECT c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 30 WHEN 'MACHINERY' THEN 10 ELSE 20 END::INT AS loa FROM customer")
+def loa_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = spark.createDataFrame([("BUILDING", 30), ("MACHINERY", 10), ("OTHER", 20)], "c_mktsegment string, loa int")
+    return nodes.with_class(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment"), classes, "c_mktsegment", "OTHER").select("id", "loa")
+
+
+@query("""WITH l AS (SELECT s_suppkey AS id, 1.0::DOUBLE + s_nationkey AS x1, 3.0::DOUBLE AS y1 FROM supplier), c AS (SELECT id, x1 * 2 - y1 * 5 AS det, (1 * 2 - 2.0::DOUBLE * 5) / nullif(x1 * 2 - y1 * 5, 0) AS s, x1, y1 FROM l)
+SELECT id, round(CASE WHEN abs(det) < 1e-12 THEN sqrt(5.0::DOUBLE) ELSE least(sqrt(s * x1 * s * x1 + s * y1 * s * y1), sqrt((s * x1 - 1) * (s * x1 - 1) + (s * y1 - 2) * (s * y1 - 2))) END, 6) AS d FROM c""")
+def perpendicular_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = [F.lit(0.0), F.lit(0.0), 1.0 + F.col("s_nationkey"), F.lit(3.0)]
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), r6(nodes.perpendicular_distance(a, [F.lit(x) for x in (1.0, 2.0, 6.0, 4.0)])).alias("d"))
+
+
+@query(f"WITH {POINTS}, g AS (SELECT label, avg(x) AS x, avg(y) AS y, avg(z) AS z, max(x) - min(x) AS ex, max(z) - min(z) AS ez FROM p GROUP BY label) SELECT label::VARCHAR AS subject, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(ex, 6) AS ex, round(ez, 6) AS ez FROM g")
+def complete_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = labelled(spark, sf_dir)
+    bare = p.select("subject").distinct().withColumns({"t": F.lit(None).cast("array<double>"), "box": F.lit(None).cast("array<double>"), "hull": F.lit(None).cast("array<array<double>>")})
+    n = nodes.complete(bare, p)
+    return n.select("subject", *(r6(F.col("t")[k]).alias(c) for k, c in ((3, "x"), (7, "y"), (11, "z"))), r6(F.col("box")[3]).alias("ex"), r6(F.col("box")[5]).alias("ez"))
+
+
+@query(f"WITH {POSES} SELECT id, round(-y + 5, 6) AS x, round(x + 6, 6) AS y, round(z + 7, 6) AS z FROM s")
+def transform_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = poses(spark, sf_dir).select("id", "x", "y", "z").withColumns({"qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.lit(0.0), "qw": F.lit(1.0)})
+    half = 0.5**0.5
+    return rounded(nodes.move_poses(p, (0, 0, half, half), (5, 6, 7)).select("id", "x", "y", "z"), "x", "y", "z")
