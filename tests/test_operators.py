@@ -243,3 +243,52 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.event_type, r.n, r["mean"]) for r in spark.table("counts").collect()] == [("a", 1, 2.0)]
+
+
+def test_nodes_move_and_sets(spark):
+    from geoweft.operators import nodes
+
+    rows = [("a", None, None, [[0.0, 0.0, 0.0], [2.0, 0.0, 0.0], [0.0, 4.0, 6.0]]), ("b", None, [1.0, 2.0, 3.0, 2.0, 2.0, 2.0, 0.0, 0.0, 0.0], None), ("c", None, None, None)]
+    df = spark.createDataFrame(rows, "subject string, t array<double>, box array<double>, hull array<array<double>>")
+    full = {r.subject: r for r in nodes.complete(df).collect()}
+    assert full["a"].box == pytest.approx([1, 2, 3, 2, 4, 6, 0, 0, 0]) and full["b"].t[3] == 1 and len(full["c"].hull) == 8
+    turn = L.mat4_from_euler((0.0, 0.0, 90.0), (10.0, 0.0, 0.0))
+    moved = {r.subject: r for r in nodes.move(nodes.complete(df), turn).collect()}
+    assert moved["b"].box == pytest.approx([8, 1, 3, 2, 2, 2, 0, 0, 90]) and moved["a"].hull[1] == pytest.approx([10, 2, 0])
+    sets = spark.createDataFrame([("s", "a"), ("s", "b")], "parent string, child string")
+    b = nodes.set_bounds(sets, nodes.complete(df)).first()
+    assert (b.xmin, b.xmax, b.zmax) == (0, 2, 6)
+    e = nodes.ellipsoids(spark.createDataFrame([(1.0, 2.0, 3.0)], "rx double, ry double, rz double"), 8).collect()
+    assert all((r.x / 1) ** 2 + (r.y / 2) ** 2 + (r.z / 3) ** 2 == pytest.approx(1) for r in e)
+
+
+def test_building_elements(spark, tmp_path):
+    text = "ISO-10303-21;\nDATA;\n#1=IFCWALL('0123456789012345678901',#2,'Wall, (a)',$,'Basic');\n#2= IFCOWNERHISTORY(#3,(1,2),.T.);\nENDSEC;\n"
+    (tmp_path / "m.ifc").write_text(text)
+    rows = {r.id: r for r in files.building_elements(spark, str(tmp_path)).collect()}
+    assert (rows[1].class_name, rows[1].name, rows[1].object_type, rows[2].global_id) == ("IFCWALL", "Wall, (a)", "Basic", None)
+    assert files.building_elements(spark, str(tmp_path), ("IFCWALL",)).count() == 1
+
+
+def test_color_index(spark):
+    want = {0: [0, 0, 0], 7: [255, 255, 255], 10: [255, 0, 0], 11: [255, 170, 170], 50: [255, 255, 0], 90: [0, 255, 0], 170: [0, 0, 255], 12: [189, 0, 0], 250: [51, 51, 51]}
+    df = spark.createDataFrame([(k,) for k in (*want, 256)], "k int")
+    got = {r.k: r.c for r in df.select("k", X.aci_rgb(F.col("k")).alias("c")).collect()}
+    assert got == {**{k: [float(x) for x in v] for k, v in want.items()}, 256: None}
+
+
+def test_ranks_and_thinning(spark):
+    from geoweft.operators import select
+
+    df = spark.createDataFrame([(k * 7 % 100,) for k in range(100)], "id int")
+    out, total = space.ranked(df, ["id"])
+    assert total == 100 and all(r.id == r.number for r in out.collect())
+    sizes = [n for _, n in sorted(space.chunks(df, ["id"], 7).groupBy("chunk").count().collect())]
+    assert sizes == [15, 15, 14, 14, 14, 14, 14]
+    images = spark.createDataFrame([(1, k, float(k), 0.0, 2.0) for k in range(10)], "flight int, image int, x double, y double, z double")
+    step = 2 * 2.0 * np.tan(np.radians(47)) * 0.5
+    want, last = [], None
+    for k in range(10):
+        if last is None or k - last > step:
+            want, last = [*want, k], k
+    assert [r.image for r in select.thin_by_overlap(images, "flight", "image", 0.0, 0.5).orderBy("image").collect()] == want
