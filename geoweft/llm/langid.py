@@ -15,7 +15,7 @@ from pyspark.sql.functions import arrow_udf
 #: N-grams of these lengths share this many buckets.
 ORDERS, BUCKETS = (2, 3), 1 << 15
 #: So many characters, divided by the number of languages, are scored at once.
-CELLS = 1 << 22
+CELLS = 1 << 20
 #: The model's matrix, which is broadcast, has a column for each language; more languages are refused.
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
@@ -98,7 +98,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [x for x, y in zip(texts, langs, strict=True) if y == lang and has_letter(x)]
             at = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
             docs[lang] = docs.get(lang, 0) + len(own)
-            for _, bucket in blocks(own, CELLS // 8):
+            for _, bucket in blocks(own, CELLS // 4):
                 at += np.bincount(bucket, minlength=BUCKETS)
     for lang, at in totals.items():
         used = np.flatnonzero(at)
@@ -142,7 +142,11 @@ def predictor(spark: SparkSession, model: Model):
     @arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            names, scores = shared.value.predict(texts.to_pylist())
+            names, scores = [], []
+            for k in range(0, len(texts), 256):  # a worker never holds all of a batch twice
+                n, s = shared.value.predict(texts.slice(k, 256).to_pylist())
+                names += n
+                scores += s
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     return predict

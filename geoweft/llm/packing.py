@@ -17,7 +17,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
 from geoweft.llm.common import table
-from geoweft.llm.tokens import BATCH_CHARS, REMEMBERED, _chunks, load
+from geoweft.llm.tokens import BATCH_CHARS, REMEMBERED, _chunks, load, slices
 
 #: Pieces are numbered in chunks of about this many.
 CHUNK = 20_000
@@ -121,6 +121,10 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer, self.known = load(path), {}
 
+    def forget(self) -> None:
+        self.known.clear()
+        pa.default_memory_pool().release_unused()
+
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The parts of the texts, all of them known afterwards."""
         parts = [plain(x).split(" ") for x in texts]
@@ -163,7 +167,7 @@ def _chunks_of(texts: list[str]) -> Iterator[list[str]]:
     for x in texts:
         out.append(x)
         n += len(x)
-        if n >= 8 * BATCH_CHARS:
+        if n >= 2 * BATCH_CHARS:
             yield out
             out, n = [], 0
     if out:
@@ -184,13 +188,15 @@ def pieces(path: str, capacity: int):
 
     @arrow_udf(PIECES)
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        end = np.array([END], "<u4").tobytes()
+        end, e = np.array([END], "<u4").tobytes(), encoder(path)
         for texts in batches:
             out = []
-            for ids in encoder(path).encode([x or "" for x in texts.to_pylist()]):
-                ids += end
-                out.append([{"piece": k, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} for k, at in enumerate(range(0, len(ids), 4 * capacity)) for part in [ids[at : at + 4 * capacity]]])
+            for rows in slices(texts):
+                for ids in e.encode(rows):
+                    ids += end
+                    out.append([{"piece": k, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} for k, at in enumerate(range(0, len(ids), 4 * capacity)) for part in [ids[at : at + 4 * capacity]]])
             yield pa.array(out, to_arrow_type(PIECES))
+        e.forget()
 
     return cut
 

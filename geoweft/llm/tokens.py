@@ -17,7 +17,9 @@ from pyspark.sql.functions import arrow_udf
 #: A batch for the tokenizer ends at about so many characters; a longer text is split at safe boundaries.
 BATCH_CHARS = 1 << 18
 #: So many parts of text are remembered in each worker with what they encode to; then it forgets them all.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Rows of an Arrow batch that become Python strings at a time.
+ROWS = 128
 #: A space here isn't a safe boundary, as the tokenizer may join it with the white space beside it.
 UNSAFE = re.compile(r"\A | \Z| \s|\s ")
 
@@ -30,6 +32,12 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts of a batch, null as empty, ROWS at a time: a worker never holds all of a batch twice."""
+    for k in range(0, len(texts), ROWS):
+        yield ["" if x is None else x for x in texts.slice(k, ROWS).to_pylist()]
+
+
 def _chunks(parts: list[str]) -> Iterator[list[str]]:
     """Lists of parts with about BATCH_CHARS characters each: balanced by size, not by number."""
     out, n = [], 0
@@ -58,6 +66,12 @@ class PieceCounter:
     def encode(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for part in _chunks(texts) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
+    def forget(self) -> None:
+        """At a task's end, so that a worker that goes on to other work keeps no more than the tokenizer."""
+        self.first.clear()
+        self.rest.clear()
+        pa.default_memory_pool().release_unused()
+
     def _learn(self, known: dict, parts: set[str], prefix: str) -> None:
         if new := [x for x in parts if x not in known]:
             known.update(zip(new, self.encode([prefix + x for x in new]), strict=True))
@@ -81,7 +95,7 @@ class PieceCounter:
         for k in sorted(set(range(len(texts))) - set(whole)):
             todo.append((k, texts[k].split(" ")))
             n += len(texts[k])
-            if n >= 8 * BATCH_CHARS:
+            if n >= 2 * BATCH_CHARS:
                 self._add(todo, out)
                 n = 0
         if todo:
@@ -100,8 +114,10 @@ def lengths(path: str) -> Callable[..., Column]:
 
     @arrow_udf(T.LongType())
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        c = counter(path)
         for texts in batches:
-            yield pa.array(counter(path).counts(["" if x is None else x for x in texts.to_pylist()]), pa.int64())
+            yield pa.array([n for part in slices(texts) for n in c.counts(part)], pa.int64())
+        c.forget()
 
     return count
 
