@@ -1,7 +1,8 @@
-"""Embedding near-dedup: passes of sorted random projections with bounded windows, joined by union-find, then exact links within components."""
+"""Embedding near-dedup: all pairs of a label, or passes of sorted random projections as many as its size asks for, joined by union-find, then exact links within components."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,12 @@ from pyspark.sql import functions as F
 
 from geoweft.llm.common import Forest, connected_components, edge_batch, runs, table
 
-#: Passes, bits of a pass's key, bits that must agree for two vectors to be compared, neighbours compared.
-PASSES, BITS, PREFIX, WINDOW = 12, 32, 8, 32
+#: Labels of so many distinct vectors at most are compared pair by pair, dealt over the pairs of so many parts.
+EXACT, PARTS = 32_768, 8
+#: Of larger labels: neighbours compared in a pass, bits of its key, and the part of links at the threshold that all passes together may miss.
+WINDOW, BITS, MISS = 1024, 32, 0.01
+#: So many vectors are compared at once.
+SLICE = 512
 #: So many vectors of a component are compared with so many others in one piece of work.
 BLOCK = 1024
 
@@ -31,22 +36,70 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _keys(passes: int, bits: int, prefix: int, seed: int):
+def effort(n: int, threshold: float, window: int, miss: float) -> tuple[int, int]:
+    """Passes, and bits of a pass's key that deal its vectors out, for a label of n vectors.
+
+    Two vectors of the threshold's cosine have a sign in common with probability q. If they share the first log2(n / window), about window vectors do, so
+    they are compared. Groups of equal first bits hold 4 windows or more, so their borders cost less than the window does.
+    """
+    q = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    met = q ** max(0.0, math.log2(n / window))
+    return 1 if met >= 1 else math.ceil(math.log(miss) / math.log1p(-met)), max(0, math.floor(math.log2(n / (4 * window))))
+
+
+def unite(forest: Forest, nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Unites nodes[a] with nodes[b], pair by pair; pairs that are in one tree already, most in a large group, are dropped many at a time."""
+    while len(a):
+        used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = np.array([forest.find(x) for x in nodes[used].tolist()], np.int64)[at]
+        apart = root[: len(a)] != root[len(a) :]
+        a, b = a[apart], b[apart]
+        first = np.unique(a, return_index=True)[1]
+        for u, v in zip(nodes[a[first]].tolist(), nodes[b[first]].tolist(), strict=True):
+            forest.union(u, v)
+
+
+def _stars(forest: Forest) -> Iterator[pa.RecordBatch]:
+    pairs = list(forest.stars())
+    for k in range(0, len(pairs), 100_000):
+        yield edge_batch(pairs[k : k + 100_000])
+
+
+def _pairs(threshold: float):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        forest = Forest()
+        for cell in runs(batches, ["label", "dim", "i", "j"], least=2):
+            x, node, salt = matrix(cell.column("vector")), cell.column("node").to_numpy(), cell.column("salt").to_numpy()
+            i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+            own, other = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
+            for k in range(0, len(own), SLICE):
+                a, b = np.nonzero(x[own[k : k + SLICE]] @ x[other].T >= threshold)
+                a, b = own[k + a], other[b]
+                unite(forest, node, a[a != b], b[a != b])
+        yield from _stars(forest)
+
+    return make
+
+
+def _keys(threshold: float, window: int, miss: float, seed: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims):
+            for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                if int(dim) not in planes:
-                    planes[int(dim)] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), passes * bits))
                 for at in range(0, part.num_rows, 2048):
                     own = part.slice(at, 2048)
-                    signs = (matrix(own.column("vector")) @ planes[int(dim)] > 0).reshape(own.num_rows, passes, bits)
-                    keys = (signs * (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))).sum(axis=2)
-                    for p in range(passes):
-                        key = keys[:, p]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(own.num_rows, p, np.int32)), own.column("label"), own.column("dim"), pa.array(key >> bits - prefix), pa.array(key), own.column("node"), own.column("vector")], ["pass", "label", "dim", "prefix", "key", "node", "vector"])
+                    x = matrix(own.column("vector"))
+                    sizes, which = np.unique(own.column("n").to_numpy(), return_inverse=True)
+                    passes, prefix = np.array([effort(n, threshold, window, miss) for n in sizes.tolist()])[which].T
+                    for p in range(passes.max()):
+                        if (p, dim) not in planes:
+                            planes[p, dim] = np.random.default_rng([seed, dim, p]).standard_normal((dim, BITS))
+                        in_pass = passes > p
+                        key = (x[in_pass] @ planes[p, dim] > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                        rows = own.filter(pa.array(in_pass))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), p, np.int32)), rows.column("label"), rows.column("dim"), pa.array(key >> BITS - prefix[in_pass]), pa.array(key), rows.column("node"), rows.column("vector")], ["pass", "label", "dim", "prefix", "key", "node", "vector"])
 
     return make
 
@@ -58,22 +111,26 @@ def _neighbours(threshold: float, window: int):
             if not batch.num_rows:
                 continue
             both = pa.Table.from_batches([batch] if tail is None else [*tail, batch]).combine_chunks()
+            known = both.num_rows - batch.num_rows
             dims = both.column("dim").to_numpy()
             nodes = both.column("node").to_numpy()
             codes = [both.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("pass", "label", "dim", "prefix")]
+            group = np.r_[0, np.cumsum(np.logical_or.reduce([c[1:] != c[:-1] for c in codes]))]
             for dim in np.unique(dims):
                 own = np.flatnonzero(dims == dim)
-                x = matrix(both.column("vector").take(pa.array(own)))
-                for step in range(1, min(window, len(own) - 1) + 1):
-                    same = np.logical_and.reduce([c[own[step:]] == c[own[:-step]] for c in codes])
-                    at = np.flatnonzero(same)
-                    near = at[(x[at] * x[at + step]).sum(axis=1) >= threshold]
-                    for a, b in zip(nodes[own[near]].tolist(), nodes[own[near + step]].tolist(), strict=True):
-                        forest.union(a, b)
+                x, new = matrix(both.column("vector").take(pa.array(own))), int(np.searchsorted(own, known))
+                for k in range(0, len(own), SLICE):
+                    start, end = max(k, new), min(len(own), k + SLICE + window)
+                    if start >= end:
+                        continue
+                    near = x[k : k + SLICE] @ x[start:end].T >= threshold
+                    near &= group[own[k : k + SLICE], None] == group[own[start:end]]
+                    a, b = np.nonzero(near)
+                    a, b = own[k + a], own[start + b]
+                    inside = (b > a) & (b - a <= window)
+                    unite(forest, nodes, a[inside], b[inside])
             tail = both.slice(max(0, both.num_rows - window)).to_batches()
-        pairs = list(forest.stars())
-        for k in range(0, len(pairs), 100_000):
-            yield edge_batch(pairs[k : k + 100_000])
+        yield from _stars(forest)
 
     return make
 
@@ -104,13 +161,14 @@ def _counts(threshold: float):
     return make
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", threshold: float = 0.93, passes: int = PASSES, window: int = WINDOW, seed: int = 42) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", threshold: float = 0.93, exact: int = EXACT, window: int = WINDOW, miss: float = MISS, seed: int = 42) -> DataFrame:
     """One row per row of vectors: its id, n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null, their lengths are equal, and their cosine in double precision is threshold or more. Equal vectors
-    of one label are one node with a number of copies from the start. Each pass orders the nodes of a label by random hyperplanes' signs and compares
-    each with the window before it among those with the same first PREFIX signs; what passes find is united. Within each component all pairs are then compared
-    exactly, in blocks, so n_links counts every link there, however many; a link is missed only if no pass brought its two components together.
+    of one label are one node with a number of copies from the start. Labels of exact nodes at most are compared pair by pair and miss nothing. Larger ones are
+    ordered by random hyperplanes' signs in as many passes as effort() finds for their size, and each node is compared with the window before it; for
+    vectors spread evenly over the hyperplanes, at most about miss of the links at the threshold stay unfound, fewer above it. What is found is united. Within
+    each component all pairs are then compared exactly, in blocks, so n_links counts every link there, however many.
     n_links is the number of other rows linked directly; component_id the smallest id that links reach, its own included; kept tells
     whether that is its own. A vector that isn't usable, or whose label is null, links with nothing. Repeated rows count as copies, each on its own.
     Null ids are never the smallest. Other columns are neither read nor returned; an empty table gives an empty one.
@@ -120,16 +178,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "l
     good = rows.where(fit).withColumn("node", F.xxhash64("label", "vector"))
     nodes = table(good.groupBy("node", "label", "vector").agg(F.count("*").alias("copies"), F.min("id").alias("first")).withColumn("dim", F.size("vector")))
     kind = nodes.schema["vector"].dataType.simpleString()
-    keyed = nodes.select("node", "label", "dim", "vector").mapInArrow(_keys(passes, BITS, PREFIX, seed), f"pass int, label string, dim int, prefix long, key long, node long, vector {kind}")
+    counted = nodes.join(nodes.groupBy("label", "dim").agg(F.count("*").alias("n")), ["label", "dim"]).select("label", "dim", "n", "node", "vector")
+    salted = counted.where(F.col("n").between(2, exact)).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("long"))
+    pairs = salted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).select("label", "dim", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "node", "salt", "vector")
+    close = pairs.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j").mapInArrow(_pairs(threshold), "u long, v long")
+    keyed = counted.where(F.col("n") > exact).mapInArrow(_keys(threshold, window, miss, seed), f"pass int, label string, dim int, prefix long, key long, node long, vector {kind}")
     dealt = keyed.repartition("pass", "label", "dim", "prefix").sortWithinPartitions("pass", "label", "dim", "prefix", "key", "node")
-    roots = table(connected_components(dealt.mapInArrow(_neighbours(threshold, window), "u long, v long")))
+    roots = table(connected_components(close.union(dealt.mapInArrow(_neighbours(threshold, window), "u long, v long"))))
     sized = roots.join(roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("k")), "root")
     members = nodes.join(sized, "node").select("root", "node", "copies", "vector", "k", F.pmod(F.xxhash64("node"), F.col("k")).alias("salt"))
     cells = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("root", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "node", "salt", "copies", "vector")
-    counted = cells.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(_counts(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "copies", "first").join(roots, "node", "left").join(counted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = cells.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(_counts(threshold), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    known = nodes.select("node", "copies", "first").join(roots, "node", "left").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     facts = known.join(least, "root").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    linked = good.select("id", "node").join(facts, "node").select("id", "n_links", "component_id")
+    found = good.select("id", "node").join(facts, "node").select("id", "n_links", "component_id")
     alone = rows.where(~fit).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -1,11 +1,13 @@
 """SimHash, line dedup, mixing, packing, vectors and the pipeline against brute force."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -298,6 +300,44 @@ def test_near_vectors(spark, monkeypatch):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def planted(n, pairs, cosine, seed=9):
+    """n random vectors of 64 dimensions, of which the first pairs have a partner of that cosine at index n + k."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((pairs, 64))
+    side -= (side * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    return np.concatenate([x, cosine * x[:pairs] + math.sqrt(1 - cosine * cosine) * side])
+
+
+def vector_table(spark, x):
+    return spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "label": np.ones(len(x), np.int64), "embedding": pa.FixedSizeListArray.from_arrays(x.astype(np.float32).ravel(), x.shape[1]).cast(pa.list_(pa.float32()))}))
+
+
+def recall(found, n, pairs):
+    ids = {r.vec_id: r.component_id for r in found.select("vec_id", "component_id").where(f"vec_id < {pairs} OR vec_id >= {n}").collect()}
+    return sum(ids[k] == ids[n + k] for k in range(pairs)) / pairs
+
+
+def test_near_vectors_hot_label(spark):
+    n, pairs = 18_000, 2_000
+    df = vector_table(spark, planted(n, pairs, 0.931))
+    assert recall(vectors.near_vectors(df), n, pairs) == 1
+    # the passes that larger labels go through, at a window as small for this label as the true one is for 640,000 vectors
+    assert recall(vectors.near_vectors(df, exact=0, window=32), n, pairs) >= 1 - vectors.MISS
+
+
+def test_near_vectors_effort_follows_size():
+    q = 1 - math.acos(0.93) / math.pi
+    passes = []
+    for n in (33_000, 200_000, 2_000_000, 10_000_000):
+        k, bits = vectors.effort(n, 0.93, vectors.WINDOW, vectors.MISS)
+        assert (1 - q ** math.log2(n / vectors.WINDOW)) ** k <= vectors.MISS and n >> bits >= 4 * vectors.WINDOW
+        passes.append(k)
+    assert passes == sorted(set(passes))
+
+
 # queries and pipeline
 
 
