@@ -20,9 +20,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Weak parts: named identifiers, words that look random, and addresses of services.
-IDENTIFIER = re.compile(r"""(?:client_?id|access_?key_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,128})""", re.ASCII | re.IGNORECASE)
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|amqps?)://[^\s\"'<>]{3,512}", re.ASCII)
+IDENTIFIER = re.compile(r"""(?:client_?id|access_?key_?id|account_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@+-]{3,})""", re.ASCII | re.IGNORECASE)
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"(?:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|redis|mongodb|amqps?)://[^\s\"'<>]{3,}", re.ASCII)
 #: Strings one of which is in every text (in lower case) that the pattern can match.
 ASSIGN_KEYS, IDENTIFIER_KEYS = ("passw", "secret", "token", "api_key", "apikey"), ("client_id", "clientid", "key_id", "keyid", "account_id", "accountid", "user", "login")
 
@@ -64,16 +64,18 @@ def mixed(word: str) -> bool:
 
 
 def linked_spans(text: str, low: str, base: dict[str, list[Span]], scope: int) -> dict[str, list[Span]]:
-    """Weak candidates with a complementary part in scope: identifiers with a secret, secrets with an identifier, endpoints with either."""
+    """Weak candidates with a complementary part in scope: identifiers with a secret, secrets with an identifier or endpoint, endpoints with any of them."""
     strong = base["assign"] + base["hex"]
     ids = [m.span() for m in IDENTIFIER.finditer(text)] if any(k in low for k in IDENTIFIER_KEYS) else []
-    keys = [m.span() for m in SECRET.finditer(text) if mixed(m[0])] if ids or base["access"] else []
+    sites = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text else []
+    keys = [m.span() for m in SECRET.finditer(text) if mixed(m[0])] if ids or sites or base["access"] else []
     every = strong + base["access"]
     keys = apart(keys, every + ids)
-    ids = apart(ids, every)
-    out = {"identifier": within(ids, strong + keys, scope), "secret": within(keys, ids + base["access"], scope)}
-    sites = [m.span() for m in ENDPOINT.finditer(text)] if "://" in text else []
-    return out | {"endpoint": within(apart(sites, every), every + out["identifier"] + out["secret"], scope)}
+    ids, sites = apart(ids, every), apart(sites, every)
+    # a word inside an address is no second part beside it
+    beside = {*within(keys, ids + base["access"], scope), *within(apart(keys, sites), sites, scope)}
+    out = {"identifier": within(ids, strong + keys, scope), "secret": [k for k in keys if k in beside]}
+    return out | {"endpoint": within(sites, every + out["identifier"] + out["secret"], scope)}
 
 
 def listed(found: dict[str, list[Span]]) -> str:
@@ -96,7 +98,8 @@ def secret_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     spans lists kind:start:end by start, then kind (KINDS), in code points with the end exclusive. Base spans are the leftmost
     non-overlapping matches of each kind. Weak candidates (identifier, secret, endpoint) are added where a complementary part lies at most
-    scope characters away; they never overlap a base span. A null or empty text gives zeros and empty lists. Repeated rows stay; other
+    scope characters away, whatever their length; they never overlap a base span. A secret's own address (an endpoint that it stands in) is no
+    complementary part. A null or empty text gives zeros and empty lists. Repeated rows stay; other
     columns are neither read nor returned; an empty table gives an empty one.
     """
 

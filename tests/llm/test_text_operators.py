@@ -188,6 +188,23 @@ def test_linked_parts():
     assert "secret:" in secrets.scan(f"AKIA{'Q' * 16} {key}", 400)[4]
 
 
+@pytest.mark.parametrize("n", [128, 129, 172, 300, 5000])
+def test_long_parts(n):
+    key = ("Ab1" * n)[:n]
+    assert secrets.scan(f"client_id = web-7 {key}", 400)[4] == f"identifier:0:17,secret:18:{18 + n}"
+    assert secrets.scan(f"AKIA{'Q' * 16} {key}==", 400)[4] == f"access:0:20,secret:21:{23 + n}"
+    name, path = "w" * n, "p" * 2 * n
+    assert secrets.scan(f"login={name} {'Ab1' * 12}", 400)[4] == f"identifier:0:{6 + n},secret:{7 + n}:{43 + n}"
+    assert secrets.scan(f"https://x.example/{path} password=hunter22", 400)[4].startswith(f"endpoint:0:{18 + 2 * n},")
+
+
+def test_secret_beside_endpoint():
+    key = "Ab1" * 12
+    assert secrets.scan(f"https://x.example/api {key}", 400)[4] == "endpoint:0:21,secret:22:58"
+    assert secrets.scan(f"https://x.example/api {'. ' * 500}{key}", 400)[4] == ""
+    assert secrets.scan(f"see https://x.example/{key}", 400)[4] == ""
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9))), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9))), st.integers(0, 8))
 def test_interval_join(a, b, scope):
