@@ -434,10 +434,20 @@ def angle_between_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # generators
 
 
+def _ray_grid(part: DataFrame) -> DataFrame:
+    b = part.select(F.col("p_partkey").alias("id"), F.lit(0.0).alias("xmin"), (F.col("p_size") / 10.0).alias("xmax"), F.lit(0.0).alias("ymin"), (F.col("p_size") / 20.0).alias("ymax"), F.lit(0.0).alias("zmin"), F.lit(1.0).alias("zmax"))
+    return generate.vertical_rays(b, 0.5).select("id", F.col("ox").alias("x"), F.col("oy").alias("y"))
+
+
 @query("SELECT p_partkey AS id, i * 0.5::DOUBLE AS x, j * 0.5::DOUBLE AS y FROM part, generate_series(0, 19) a(i), generate_series(0, 19) b(j) WHERE p_partkey <= 50 AND i < greatest(ceil(round((p_size / 10.0::DOUBLE) / 0.5, 9)), 1) AND j < greatest(ceil(round((p_size / 20.0::DOUBLE) / 0.5, 9)), 1)")
 def xy_ray_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = read(spark, sf_dir, "part").where("p_partkey <= 50").select(F.col("p_partkey").alias("id"), F.lit(0.0).alias("xmin"), (F.col("p_size") / 10.0).alias("xmax"), F.lit(0.0).alias("ymin"), (F.col("p_size") / 20.0).alias("ymax"), F.lit(0.0).alias("zmin"), F.lit(1.0).alias("zmax"))
-    return generate.vertical_rays(b, 0.5).select("id", F.col("ox").alias("x"), F.col("oy").alias("y"))
+    return _ray_grid(read(spark, sf_dir, "part").where("p_partkey <= 50"))
+
+
+@query("SELECT p_partkey AS id, i * 0.5::DOUBLE AS x, j * 0.5::DOUBLE AS y FROM (SELECT p_partkey, greatest(ceil(round((p_size / 10.0::DOUBLE) / 0.5, 9)), 1)::BIGINT AS nx, greatest(ceil(round((p_size / 20.0::DOUBLE) / 0.5, 9)), 1)::BIGINT AS ny FROM part), unnest(range(nx)) a(i), unnest(range(ny)) b(j)")
+def xy_ray_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rays of every part; xy_ray_grid has those of its SQL's parts."""
+    return _ray_grid(read(spark, sf_dir, "part"))
 
 
 @query("SELECT p_partkey AS id, s, round(p_size * (s / n::DOUBLE), 6) AS x FROM (SELECT p_partkey, p_size, floor(p_size::DOUBLE / 3)::BIGINT AS n FROM part), generate_series(0, 20) g(s) WHERE n >= 1 AND s <= n")

@@ -24,6 +24,13 @@ def test_query_equals_sql(name, spark, duck):
         assert a == pytest.approx(b, abs=1e-6) if all(isinstance(x, (int, float)) for x in a) else all(x == y or isinstance(x, float) and abs(x - y) < 1e-6 for x, y in zip(a, b, strict=True))
 
 
+def test_rays_of_every_part(spark):
+    sizes = {r.p_partkey: r.p_size for r in spark.read.parquet(f"{SMALL}/part.parquet").collect()}
+    got = sorted(map(tuple, catalog.QUERIES["xy_ray_grid_all"](spark, SMALL).select("id", "x", "y").collect()))
+    side = lambda length: range(max(1, math.ceil(round(length / 0.5, 9))))
+    assert got == sorted((k, i * 0.5, j * 0.5) for k, n in sizes.items() for i in side(n / 10) for j in side(n / 20))
+
+
 def test_entry():
     import __spark_entry__ as e
 
