@@ -237,6 +237,12 @@ def dbscan_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.dbscan(points(spark, sf_dir).where("label < 3"), 0.05, 4)
 
 
+@query()
+def dbscan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the whole cloud, too many for recursive SQL; dbscan_components has those of its SQL's labels alone."""
+    return space.dbscan(points(spark, sf_dir), 0.05, 4)
+
+
 @query(f"""WITH {POINTS}, o AS (SELECT * FROM p WHERE label % 2 = 0), n AS (SELECT * FROM p WHERE label % 2 = 1),
 i AS (SELECT *, x BETWEEN -0.2 AND 0.2 AND y BETWEEN -0.2 AND 0.2 AND z BETWEEN -0.2 AND 0.2 AS ins FROM o)
 SELECT id, 'outside' AS origin FROM i WHERE NOT ins UNION ALL SELECT q.id, 'kept' FROM i q WHERE ins AND EXISTS (SELECT 1 FROM n r WHERE {D2} <= 0.03::DOUBLE * 0.03)

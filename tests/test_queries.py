@@ -5,6 +5,7 @@ import math
 import pytest
 
 from geoweft.plans import catalog
+from geoweft.plans.inputs import points
 from tests.conftest import SMALL
 
 
@@ -31,6 +32,22 @@ def test_rays_of_every_part(spark):
     assert got == sorted((k, i * 0.5, j * 0.5) for k, n in sizes.items() for i in side(n / 10) for j in side(n / 20))
 
 
+def test_dbscan_of_every_point(spark):
+    pts = {r.id: (r.x, r.y, r.z) for r in points(spark, SMALL).collect()}
+    near = {k: [o for o, q in pts.items() if sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) <= 0.05 * 0.05] for k, p in pts.items()}
+    core = {k for k, others in near.items() if len(others) >= 4}
+    cluster = {}
+    for k in sorted(core):
+        reached = [] if k in cluster else [k]
+        while reached:
+            if (at := reached.pop()) not in cluster:
+                cluster[at] = k
+                reached += [o for o in near[at] if o in core]
+    border = {k: min(cluster[o] for o in others if o in core) for k, others in near.items() if k not in core and core & set(others)}
+    got = catalog.QUERIES["dbscan_all"](spark, SMALL).collect()
+    assert sorted((r.id, r.cluster, r.core) for r in got) == sorted([(k, c, True) for k, c in cluster.items()] + [(k, c, False) for k, c in border.items()])
+
+
 def test_entry():
     import __spark_entry__ as e
 
