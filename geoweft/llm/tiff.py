@@ -1,7 +1,8 @@
 """Media columns: TIFF files in a binary column, one row per page.
 
 The reader walks the image directories of a classic TIFF of either byte order, undoes strips or tiles stored plain, as PackBits, LZW or
-deflate, and predictor 2, for samples of 8 or 16 bits. The writer makes such files from 8-bit samples and serves tests and the query.
+deflate, predictors 2 and 3, and planes, for samples of 1, 2, 4, 8, 16, 32 or 64 bits, whole or floating point. A page that it can't read
+doesn't end the file. The writer makes such files from 8-bit samples and serves tests and the query.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Fixed values of the format: tag numbers, codes of compressions, bytes of each field type.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, FILL_ORDER, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 266, 339
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 NAMES = {NONE: "none", LZW: "lzw", DEFLATE: "deflate", PACKBITS: "packbits", OLD_DEFLATE: "deflate"}
 SIZES = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
 CLEAR, END = 256, 257
+#: Format of floating point samples.
+FLOAT = 3
 
 
 class TiffError(ValueError):
@@ -212,6 +215,14 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
 
 def read_tiff(data: bytes) -> Iterator[tuple[dict, np.ndarray]]:
     """(facts, array by row, column and sample) of each page; TiffError for what isn't readable."""
+    for page in read_pages(data):
+        if isinstance(page, TiffError):
+            raise page
+        yield page
+
+
+def read_pages(data: bytes) -> Iterator[tuple[dict, np.ndarray] | TiffError]:
+    """read_tiff's pages, or the error of a page that isn't readable; TiffError where the next directory can't be found."""
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4])
     if order is None:
         raise TiffError("no TIFF header")
@@ -223,51 +234,92 @@ def read_tiff(data: bytes) -> Iterator[tuple[dict, np.ndarray]]:
                 raise TiffError("image directories form a ring")
             seen.add(at)
             (n,) = struct.unpack_from(f"{order}H", data, at)
-            tags: dict[int, list[int]] = {}
-            for k in range(n):
-                tag, kind, count = struct.unpack_from(f"{order}HHI", data, (place := at + 2 + 12 * k))
-                if kind in SIZES:
-                    size, code = SIZES[kind]
-                    where = place + 8 if size * count <= 4 else struct.unpack_from(f"{order}I", data, place + 8)[0]
-                    tags[tag] = list(struct.unpack_from(f"{order}{count}{code}", data, where))
-            yield _page(data, order, tags)
+            try:
+                page = _page(data, order, _tags(data, order, at, n))
+            except TiffError as e:
+                page = e
+            except (struct.error, KeyError, IndexError, ValueError, ZeroDivisionError) as e:
+                page = TiffError(f"a damaged image directory: {e}")
+            yield page
             (at,) = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)
-    except (struct.error, KeyError, IndexError) as e:
+    except struct.error as e:
         raise TiffError(f"a damaged image directory: {e}") from e
 
 
+def _tags(data: bytes, order: str, at: int, n: int) -> dict[int, list[int]]:
+    tags: dict[int, list[int]] = {}
+    for k in range(n):
+        tag, kind, count = struct.unpack_from(f"{order}HHI", data, (place := at + 2 + 12 * k))
+        if kind in SIZES:
+            size, code = SIZES[kind]
+            where = place + 8 if size * count <= 4 else struct.unpack_from(f"{order}I", data, place + 8)[0]
+            tags[tag] = list(struct.unpack_from(f"{order}{count}{code}", data, where))
+    return tags
+
+
+def _samples(data: bytes, rows: int, columns: int, samples: int, bits: int, order: str, predictor: int) -> np.ndarray:
+    """A block's samples as whole numbers: those of less than a byte are unpacked, high bits first, from rows of whole bytes, and predictors undone."""
+    if bits < 8:
+        each = np.unpackbits(np.frombuffer(data, np.uint8).reshape(rows, -1), axis=1)[:, : columns * samples * bits].reshape(rows, columns, samples, bits)
+        return (each << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
+    kind = np.dtype(f"{order}u{bits // 8}")
+    if predictor == 3:
+        # differences of bytes; each row has the first bytes of all samples, then the second ones, and so on, the highest first
+        parts = np.cumsum(np.frombuffer(data, np.uint8).reshape(rows, -1, samples), axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, columns * samples)
+        return np.ascontiguousarray(parts.transpose(0, 2, 1)).view(f">u{kind.itemsize}").reshape(rows, columns, samples)
+    block = np.frombuffer(data, kind).reshape(rows, columns, samples)
+    return np.cumsum(block, axis=1, dtype=kind.newbyteorder("=")) if predictor == 2 else block
+
+
 def _page(data: bytes, order: str, tags: dict[int, list[int]]) -> tuple[dict, np.ndarray]:
     w, h, samples, compression, predictor = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, [1])[0], tags.get(COMPRESSION, [NONE])[0], tags.get(PREDICTOR, [1])[0]
-    bits = tags.get(BITS, [1])
-    if {*bits} not in ({8}, {16}) or predictor not in (1, 2) or samples > 1 and tags.get(PLANAR, [1])[0] != 1:
-        raise TiffError(f"bits {bits}, predictor {predictor} or a planar layout")
-    kind = np.dtype(f"{order}u{bits[0] // 8}")
+    widths, floating = {*tags.get(BITS, [1])}, tags.get(FORMAT, [1])[0] == FLOAT
+    bits = min(widths)
+    if len(widths) > 1 or bits not in ((16, 32, 64) if floating else (1, 2, 4, 8, 16, 32, 64)) or predictor not in (1, 2, 3) or predictor == 2 and bits < 8 or predictor == 3 and not floating or bits < 8 and tags.get(FILL_ORDER, [1])[0] != 1:
+        raise TiffError(f"bits {sorted(widths)}, predictor {predictor}, format {tags.get(FORMAT, [1])[0]} or fill order {tags.get(FILL_ORDER, [1])[0]}")
+    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
+    planes = samples if samples > 1 and tags.get(PLANAR, [1])[0] == 2 else 1
+    inside = samples // planes
     if tags.get(TILE_OFFSETS):
         bw, bh, at, sizes = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0], tags[TILE_OFFSETS], tags[TILE_BYTES]
     else:
         bw, bh, at, sizes = w, min(h, tags.get(ROWS_PER_STRIP, [h])[0]) or 1, tags[STRIP_OFFSETS], tags[STRIP_BYTES]
     out = np.empty((h, w, samples), kind)
     across = -(-w // bw)
-    if len(at) < across * -(-h // bh):
+    blocks = across * -(-h // bh)
+    if len(at) < blocks * planes:
         raise TiffError("strips or tiles are missing")
-    for k in range(across * -(-h // bh)):
-        r, c = k // across * bh, k % across * bw
+    for k in range(blocks * planes):
+        plane, cell = divmod(k, blocks)
+        r, c = cell // across * bh, cell % across * bw
         rows = bh if TILE_OFFSETS in tags else min(bh, h - r)
-        block = np.frombuffer(_unpacked(data[at[k] : at[k] + sizes[k]], compression, rows * bw * samples * kind.itemsize), kind).reshape(rows, bw, samples)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
-        out[r : r + bh, c : c + bw] = block[: h - r, : w - c]
-    return {"width": w, "height": h, "samples": samples, "bits": bits[0], "compression": NAMES[compression], "predictor": predictor, "blocks": across * -(-h // bh), "tiled": TILE_OFFSETS in tags}, out
+        stored = _unpacked(data[at[k] : at[k] + sizes[k]], compression, rows * -(-bw * inside * bits // 8))
+        block = _samples(stored, rows, bw, inside, bits, order, predictor)
+        out[r : r + bh, c : c + bw, plane * inside : (plane + 1) * inside] = block[: h - r, : w - c]
+    if floating:
+        out = out.view(f"{order}f{bits // 8}")
+    return {"width": w, "height": h, "samples": samples, "bits": bits, "compression": NAMES[compression], "predictor": predictor, "blocks": blocks * planes, "tiled": TILE_OFFSETS in tags}, out
 
 
 def features(facts: dict, pixels: np.ndarray) -> str:
-    """JSON: the page's facts, mean and standard deviation of its samples, and the entropy in bits of their histogram."""
+    """JSON: the page's facts, mean and standard deviation of its samples, and the entropy in bits of their histogram.
+
+    Whole numbers count by their highest byte. Floating point ones, if finite, give mean and deviation as they are and go to 256 equal bins between their ends.
+    """
     flat = pixels.ravel()
-    counts = np.bincount(flat >> 8 * (flat.itemsize - 1), minlength=256) if flat.size else np.zeros(256, int)
+    if flat.dtype.kind == "f":
+        flat = flat[np.isfinite(flat)].astype(np.float64)
+        # scaled first, so neither the range nor the squares overflow
+        scale = float(np.abs(flat).max()) or 1.0 if flat.size else 1.0
+        part = flat / scale
+        counts = np.histogram(part, 256)[0] if flat.size and part.max() - part.min() > 1e-12 else np.array([flat.size])
+        mean, spread = (float(part.mean()) * scale, float(part.std()) * scale) if flat.size else (0.0, 0.0)
+    else:
+        counts = np.bincount((flat >> 8 * (flat.itemsize - 1)).astype(np.int64), minlength=256) if flat.size else np.zeros(256, int)
+        values = np.arange(256)
+        mean = float((counts * values).sum() / max(1, flat.size))
+        spread = float(np.sqrt(max(0.0, (counts * values**2).sum() / max(1, flat.size) - mean**2)))
     p = counts[counts > 0] / max(1, flat.size)
-    values = np.arange(256)
-    mean = float((counts * values).sum() / max(1, flat.size))
-    spread = float(np.sqrt(max(0.0, (counts * values**2).sum() / max(1, flat.size) - mean**2)))
     return json.dumps(facts | {"mean": round(mean, 6), "sd": round(spread, 6), "entropy": round(float(-(p * np.log2(p)).sum()) + 0.0, 6)}, sort_keys=True)
 
 
@@ -283,7 +335,11 @@ def _pages(files: Iterator[pa.Array]) -> Iterator[pa.Array]:
             pages: list[dict] = []
             data = file.as_py()
             try:
-                for k, (facts, a) in enumerate(read_tiff(data) if data is not None else ()):
+                for k, page in enumerate(read_pages(data) if data is not None else ()):
+                    if isinstance(page, TiffError):
+                        pages.append({"page": k, "error": str(page)})
+                        continue
+                    facts, a = page
                     pages.append({x: facts[x] for x in ("width", "height", "samples", "bits", "compression")} | {"page": k, "pixels": a.tobytes(), "feature": features(facts, a), "error": None})
             except TiffError as e:
                 pages.append({"page": len(pages), "error": str(e)})
@@ -294,7 +350,8 @@ def _pages(files: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def tiff_pages(files: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """One row per page of each TIFF file in the binary column media_col: the id, page (from 0), width, height, samples, bits, compression, pixels (row by row, in the file's byte order), feature, error.
 
-    A file that can't be read, or not to its end, gives a last row with error and without pixels; null gives no row, and so does an
+    A page that can't be read gives a row with error and without pixels, and the next ones are read; a file that can't be followed to its end
+    gives a last such row. Samples of less than a byte take a byte each in pixels, planes are joined by sample. Null gives no row, and so does an
     empty table. Repeated rows give repeated pages. Other columns are neither read nor returned.
     """
     return files.select(F.col(id_col).alias("_id"), F.explode(_pages(F.col(media_col))).alias("_page")).select(F.col("_id").alias(id_col), "_page.*")

@@ -1,7 +1,9 @@
 """Language ID, media, licenses, secrets and token counts against plain Python."""
 
 import hashlib
+import json
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -90,6 +92,61 @@ def test_text_features(docs, odd, empty):
     assert len(rows) == len(ODD) and {r.payload_bytes for r in rows if r.n_bytes == 0} == {64} and tiff.text_features(empty).count() == 0
 
 
+def stored_tiff(pages, order="<"):
+    """A file of pages, each of tags and the bytes of its strips."""
+    out, link = bytearray((b"II*\0" if order == "<" else b"MM\0*") + bytes(4)), 4
+    for tags, strips in pages:
+        at = []
+        for x in strips:
+            at.append(len(out))
+            out += x
+        entries = b""
+        for tag, values in sorted((tags | {tiff.STRIP_OFFSETS: at, tiff.STRIP_BYTES: [*map(len, strips)]}).items()):
+            packed = struct.pack(f"{order}{len(values)}I", *values)
+            if len(values) > 1:
+                place, out = len(out), out + packed
+                packed = struct.pack(f"{order}I", place)
+            entries += struct.pack(f"{order}HHI", tag, 4, len(values)) + packed
+        struct.pack_into(f"{order}I", out, link, len(out))
+        out += struct.pack(f"{order}H", len(tags) + 2) + entries
+        link = len(out)
+        out += bytes(4)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiff_kinds_of_samples(order):
+    rng = np.random.default_rng(3)
+    size = {tiff.WIDTH: [11], tiff.HEIGHT: [5]}
+    bilevel = rng.integers(0, 2, (5, 11), np.uint8)
+    nibbles = rng.integers(0, 16, (5, 11), np.uint8)
+    wide = rng.integers(0, 1 << 32, (5, 11), np.uint32)
+    planes = rng.integers(0, 256, (5, 11, 3), np.uint8)
+    real = rng.standard_normal((5, 11, 2)).astype(np.float32)
+    split = real.astype(">f4").view(np.uint8).reshape(5, 22, 4).transpose(0, 2, 1).reshape(5, 44, 2)
+    split = np.diff(split, axis=1, prepend=np.zeros((5, 1, 2), np.uint8)).tobytes()
+    padded = np.concatenate([nibbles, np.zeros((5, 1), np.uint8)], axis=1)
+    data = stored_tiff([
+        (size | {tiff.COMPRESSION: [tiff.PACKBITS]}, [tiff.packbits(np.packbits(bilevel, axis=1).tobytes())]),
+        (size | {tiff.BITS: [4]}, [(padded[:, ::2] << 4 | padded[:, 1::2]).tobytes()]),
+        (size | {tiff.BITS: [32]}, [wide.astype(f"{order}u4").tobytes()]),
+        (size | {tiff.BITS: [8] * 3, tiff.SAMPLES: [3], tiff.PLANAR: [2], tiff.ROWS_PER_STRIP: [3]}, [planes[r : r + 3, :, k].tobytes() for k in range(3) for r in (0, 3)]),
+        (size | {tiff.BITS: [32] * 2, tiff.SAMPLES: [2], tiff.FORMAT: [3] * 2, tiff.PREDICTOR: [3]}, [split]),
+    ], order)
+    read = list(tiff.read_tiff(data))
+    for (facts, got), want in zip(read, (bilevel, nibbles, wide, planes, real), strict=True):
+        assert got.shape[:2] == (5, 11) and (got == want.reshape(5, 11, -1)).all()
+        tiff.features(facts, got)
+    assert json.loads(tiff.features(*read[4]))["mean"] == pytest.approx(real.mean(), abs=1e-6)
+
+
+def test_tiff_pages_after_a_bad_one(spark):
+    size = {tiff.WIDTH: [4], tiff.HEIGHT: [1], tiff.BITS: [8]}
+    file = stored_tiff([(size, [b"abcd"]), (size | {tiff.COMPRESSION: [7]}, [b"jpeg"]), ({tiff.WIDTH: [4]}, [b""]), (size, [b"efgh"])])
+    rows = tiff.tiff_pages(spark.createDataFrame([(1, bytearray(file))], "id long, media binary"), "id", "media").orderBy("page").collect()
+    assert [(r.page, r.pixels and bytes(r.pixels), r.error is None) for r in rows] == [(0, b"abcd", True), (1, None, False), (2, None, False), (3, b"efgh", True)]
+
+
 # language
 
 
