@@ -91,29 +91,30 @@ def held_out(id_col: str) -> Column:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    docs: dict[str, int] = {}
     for batch in batches:
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
             own = [x for x, y in zip(texts, langs, strict=True) if y == lang and has_letter(x)]
             at = totals.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            docs[lang] = docs.get(lang, 0) + len(own)
             for _, bucket in blocks(own, CELLS // 4):
                 at += np.bincount(bucket, minlength=BUCKETS)
     for lang, at in totals.items():
         used = np.flatnonzero(at)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(used) + 1), pa.string()), pa.array([*used.tolist(), -1], pa.int64()), pa.array([*at[used].tolist(), docs[lang]], pa.int64())], ["lang", "bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used), pa.array(at[used])], ["lang", "bucket", "n"])
 
 
 def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = 4000, smoothing: float = 0.5) -> Model:
     """A model of the documents that aren't held out and have a text and a language.
 
-    rows_per_language bounds the sample: a language with more rows gives about that many, chosen by a hash of the id; their whole texts count.
+    rows_per_language bounds the sample of n-grams: a language with more rows gives about that many, chosen by a hash of the id; their whole texts count.
+    Priors are the shares of all rows that have a letter.
     What reaches the driver has a row for each language and bucket at most, whatever the size of documents. Without any such document the
     model knows no language and predicts "und". More than MAX_LANGUAGES languages raise ValueError.
     """
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out("id"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    # \p{L} is what has_letter() finds
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(r"\p{L}")).alias("docs")).limit(MAX_LANGUAGES + 1).collect()
+    sizes = {r["lang"]: r["n"] for r in found}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
@@ -126,11 +127,10 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     languages = sorted(sizes)
     at = {x: k for k, x in enumerate(languages)}
     counts, docs = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages))
+    for r in found:
+        docs[at[r["lang"]]] = r["docs"]
     for lang, bucket, n in zip(*(counted.column(k).to_pylist() for k in range(3)), strict=True):
-        if bucket < 0:
-            docs[at[lang]] = n
-        else:
-            counts[bucket, at[lang]] = n
+        counts[bucket, at[lang]] = n
     smooth = counts + smoothing
     return Model(languages, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), np.log((docs + 1) / (docs + 1).sum()))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import re
 import struct
 import zlib
@@ -173,6 +174,14 @@ def test_blocks_count_each_ngram_once():
     assert (whole == parts).all() and whole.sum() == 5001 + 5000
 
 
+def test_priors_of_all_rows(spark):
+    texts = ["le chat été", "12 !", None, "日本"]
+    rows = [(k, texts[k % 4], "en" if k % 7 else "fr") for k in range(1400)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows_per_language=60)
+    n = [sum(x == lang and k % 4 in (0, 3) and zlib.crc32(str(k).encode()) % 5 > 0 for k, _, x in rows) for lang in ("en", "fr")]
+    assert model.languages == ["en", "fr"] and model.prior == pytest.approx([math.log((x + 1) / (sum(n) + 2)) for x in n])
+
+
 # licenses
 
 
