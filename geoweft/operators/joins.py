@@ -100,10 +100,20 @@ def cast_vertical(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFra
 
 
 def mutual_matches(a: DataFrame, b: DataFrame, bits: int = 64, key: str = "id", code: str = "code") -> DataFrame:
-    """Cross-checked matches of binary descriptors: pairs that are each other's nearest by Hamming distance, among codes that share a byte: a, b, d."""
-    cuts = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col(code), k).bitwiseAND(F.lit(255)).alias("v")) for k in range(0, bits, 8)))
-    p, q = (x.select(F.col(key).alias(n), F.col(code).alias(f"{n}code"), F.explode(cuts).alias("cut")) for x, n in ((a, "a"), (b, "b")))
-    pairs = p.join(q, "cut").select("a", "b", F.bit_count(F.col("acode").bitwiseXOR(F.col("bcode"))).alias("d")).distinct()
-    best_a = pairs.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", "m.b", "m.d")
-    best_b = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("m.a", "b")
-    return best_a.join(best_b, ["a", "b"])
+    """Cross-checked matches of binary descriptors: pairs that are each other's nearest by Hamming distance: a, b, d; equal distances go to the smaller key.
+
+    Codes nearer than their number of bytes share a byte, so a best match found among those is the best of all. Rows without one are compared with
+    all codes of the other side. Rows without a code match nothing.
+    """
+    p, q = (x.select(F.col(key).alias(n), F.col(code).alias(f"{n}code")).where(F.col(code).isNotNull()) for x, n in ((a, "a"), (b, "b")))
+    cuts = lambda c: F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col(c), k).bitwiseAND(F.lit(255)).alias("v")) for k in range(0, bits, 8))))
+    d = F.bit_count(F.col("acode").bitwiseXOR(F.col("bcode"))).alias("d")
+    close = p.withColumn("cut", cuts("acode")).join(q.withColumn("cut", cuts("bcode")), "cut").select("a", "b", d).where(F.col("d") < -(-bits // 8)).distinct()
+
+    def nearest(own: DataFrame, others: DataFrame, mine: str, other: str) -> DataFrame:
+        best = lambda pairs: pairs.groupBy(mine).agg(F.min(F.struct("d", other)).alias("m")).select(mine, f"m.{other}", "m.d")
+        known = best(close)
+        return known.unionByName(best(own.join(known, mine, "left_anti").crossJoin(others).select("a", "b", d)))
+
+    return nearest(p, q, "a", "b").join(nearest(q, p, "b", "a").select("a", "b"), ["a", "b"])
+

@@ -150,6 +150,24 @@ def test_dbscan_blobs(spark):
     assert {got[k] for k in range(40)} == {0} and {got[k] for k in range(40, 70)} == {40} and 70 not in got
 
 
+def test_mutual_matches_of_distant_codes(spark):
+    rng = np.random.default_rng(2)
+    a = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 60)]
+    b = []
+    for k, x in enumerate(a):
+        flips = rng.choice(64, k % 21, replace=False)
+        b.append(int(np.int64(x) ^ np.bitwise_xor.reduce(np.left_shift(np.int64(1), flips.astype(np.int64)), initial=np.int64(0))))
+    # a code that differs in one bit of every byte shares none
+    a.append(0)
+    b.append(0x0101010101010101)
+    far = [[(x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) & (1 << 64) - 1).bit_count() for y in b] for x in a]
+    best_a = [min(range(len(b)), key=lambda j: (far[i][j], j)) for i in range(len(a))]
+    best_b = [min(range(len(a)), key=lambda i: (far[i][j], i)) for j in range(len(b))]
+    want = [(i, j, far[i][j]) for i, j in enumerate(best_a) if best_b[j] == i]
+    left, right = (spark.createDataFrame([*enumerate(x), (99, None)], "id long, code long") for x in (a, b))
+    assert sorted(map(tuple, joins.mutual_matches(left, right).collect())) == want and (60, 60, 8) in want
+
+
 def test_rasters(spark):
     image = np.full((7, 7), 9)
     image[3, 3] = 0
