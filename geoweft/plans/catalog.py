@@ -107,6 +107,15 @@ def label_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn.join(r.select(F.col("id").alias("ref"), "label"), "ref").select("id", "label")
 
 
+@query(f"WITH {POINTS} SELECT q.id, arg_min(r.label, ({D2}, r.id)) AS label FROM p q, p r WHERE q.label <= 2 AND r.label > 2 GROUP BY q.id")
+def label_transfer_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels for all points that aren't references; label_transfer has those of its SQL's labels."""
+    p = points(spark, sf_dir)
+    r = p.where("label > 2")
+    nn = joins.nearest_join(p.where("label <= 2").select("id", "x", "y", "z"), r, 0.05)
+    return nn.join(r.select(F.col("id").alias("ref"), "label"), "ref").select("id", "label")
+
+
 @query(f"WITH {POINTS} SELECT q.id, q.label FROM p q WHERE q.label <> 0 AND EXISTS (SELECT 1 FROM p r WHERE r.label = 0 AND {D2} <= {EPS}::DOUBLE * {EPS})")
 def crop_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, r = sides(spark, sf_dir)
@@ -608,6 +617,13 @@ def literal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where(~F.col("text").contains("None")).select(F.col("doc_id").alias("id"), F.size(X.to_list(F.col("text"))).cast("long").alias("n"))
 
 
+@query()
+def literal_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, null where its text is null or stands for none; literal_list has the documents of its SQL."""
+    tokens = X.to_list(F.col("text"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(tokens.isNotNull(), F.size(tokens)).cast("long").alias("n"))
+
+
 @query("SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END * (user_id % 90 + (user_id % 60) / 60.0::DOUBLE) AS dd FROM events")
 def gps_exif(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")

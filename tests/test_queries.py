@@ -48,6 +48,19 @@ def test_dbscan_of_every_point(spark):
     assert sorted((r.id, r.cluster, r.core) for r in got) == sorted([(k, c, True) for k, c in cluster.items()] + [(k, c, False) for k, c in border.items()])
 
 
+def test_label_transfer_covers_the_table(spark):
+    pts = points(spark, SMALL).collect()
+    got = {r.id: r.label for r in catalog.QUERIES["label_transfer_all"](spark, SMALL).collect()}
+    assert set(got) == {r.id for r in pts if r.label <= 2} and any(r.label == 0 for r in pts)
+
+
+def test_literal_list_of_every_document(spark, tmp_path):
+    docs = [(1, "[a, b c]"), (2, None), (3, "None"), (4, "says None here"), (5, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.id: r.n for r in catalog.QUERIES["literal_list_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: 3, 2: None, 3: None, 4: None, 5: 0}
+
+
 def test_entry():
     import __spark_entry__ as e
 
