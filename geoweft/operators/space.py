@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from geoweft.functions import geometry as G
 from geoweft.operators.joins import near_and_far, within_distance
 from geoweft.operators.select import xyz
+from geoweft.shared import table
 
 CELL = ("i", "j", "k")
 
@@ -87,20 +87,12 @@ def combine_epochs(old: DataFrame, new: DataFrame, new_bounds: Sequence[float],
     return out
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/geoweft-checkpoints"
-    path = f"{folder}/geoweft/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that the edges u, v (longs, both directions present) lead to.
 
     Each round takes the least label among a node and its neighbours and then the label of that label, so long chains halve; rounds are written to the shared folder.
     """
-    labels = _written(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
+    labels = table(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")))
     before = None
     while True:
         check = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
@@ -110,16 +102,16 @@ def components(edges: DataFrame) -> DataFrame:
         near = edges.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))
         hooked = labels.join(near, F.col("node") == F.col("u")).select("node", F.least("root", "near").alias("root"))
         up = hooked.select(F.col("node").alias("up"), F.col("root").alias("next"))
-        labels = _written(hooked.join(up, F.col("root") == F.col("up")).select("node", F.least("root", "next").alias("root")))
+        labels = table(hooked.join(up, F.col("root") == F.col("up")).select("node", F.least("root", "next").alias("root")))
 
 
 def dbscan(points: DataFrame, eps: float, min_points: int, key: str = "id") -> DataFrame:
     """Points in clusters: key, cluster (the smallest key of its core points), core. Noise is left out; a border point joins the smallest cluster in reach."""
     pairs = within_distance(points.select(key, "x", "y", "z"), points.select(key, "x", "y", "z"), eps).select(F.col(f"q.{key}").alias("u"), F.col(f"r.{key}").alias("v"))
-    pairs = _written(pairs)
+    pairs = table(pairs)
     core = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select(F.col("u").alias("c"))
     reach = pairs.join(core, F.col("u") == F.col("c"), "left_semi")
-    edges = _written(reach.join(core, F.col("v") == F.col("c"), "left_semi"))
+    edges = table(reach.join(core, F.col("v") == F.col("c"), "left_semi"))
     roots = components(edges)
     inside = roots.select(F.col("node").alias(key), F.col("root").alias("cluster"), F.lit(True).alias("core"))
     border = pairs.join(roots, F.col("v") == F.col("node")).join(core, F.col("u") == F.col("c"), "left_anti").groupBy(F.col("u").alias(key)).agg(F.min("root").alias("cluster"))
@@ -131,7 +123,7 @@ def ranked(rows: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
 
     The rows are dealt to tasks by range and written; each range is numbered by itself and starts where the ranges before it end, so no task sees more than its range.
     """
-    ranges = _written(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ranges = table(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_range", before.alias("_start"))
