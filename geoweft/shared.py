@@ -54,4 +54,4 @@ def drop_tables(spark: SparkSession) -> None:
 
 def stored_bytes(df: DataFrame) -> int:
     """What Spark expects the rows of df to take; for a table that is the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
