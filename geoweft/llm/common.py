@@ -2,41 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoweft.shared import drop, table
+
 #: What splits words in most contracts: space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one of this machine where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/geoweft-checkpoints"
-
-
-def table(df: DataFrame) -> DataFrame:
-    """Writes df into the shared folder and reads it again.
-
-    The rows outlive lost executors and are computed once, and Spark knows the size of what it reads. drop_tables() deletes them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/geoweft/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Deletes what table() wrote in this application; DataFrames that still read it fail afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/geoweft/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: A worker that unites nodes hands on what it found, and starts anew, when it holds more nodes than this.
+HELD = 500_000
 
 
 def lower_ascii(text: str | Column) -> Column:
@@ -74,15 +53,22 @@ class Forest:
             if (root := self.find(x)) != x:
                 yield x, root
 
+    def edges(self) -> Iterator[pa.RecordBatch]:
+        """The same in batches u, v."""
+        pairs = list(self.stars())
+        for k in range(0, len(pairs), 100_000):
+            yield edge_batch(pairs[k : k + 100_000])
+
 
 def _local_stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forest = Forest()
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             forest.union(a, b)
-    pairs = list(forest.stars())
-    for k in range(0, len(pairs), 100_000):
-        yield edge_batch(pairs[k : k + 100_000])
+        if len(forest.up) > HELD:
+            yield from forest.edges()
+            forest = Forest()
+    yield from forest.edges()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -91,7 +77,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each partition first shrinks its edges to stars with a union-find of its own. Then large-star and small-star
     rounds alternate until nothing changes; a round's minima are pre-aggregated before their shuffle, and its joins
     are plain equi-joins, whose skewed partitions Spark splits. Nothing is collected but a count and a checksum of
-    each round. Edges with a null or with equal ends are ignored; no edges give no rows.
+    each round, and of the rounds' tables only the last one stays. Edges with a null or with equal ends are ignored; no edges give no rows.
     """
     a, b = edges.columns[:2]
     clean = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
@@ -107,7 +93,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select("v", F.least("u", "m").alias("m")).distinct().toDF("u", "v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select("v", "m").union(least.select("u", "m")).distinct().toDF("u", "v")
-        now = table(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+        now, old = table(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()), now
+        drop(old)
 
 
 def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:

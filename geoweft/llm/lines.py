@@ -9,13 +9,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from geoweft.llm.common import Forest, connected_components, edge_batch, runs, table
+from geoweft.llm.common import HELD, Forest, connected_components, runs
+from geoweft.shared import drop, table
 
 #: Characters of a shingle, bands and rows of a band: a pair of similarity 0.8 shares a band with probability 0.99, one of 0.9 with 0.9999.
 SHINGLE, BANDS, ROWS = 8, 9, 4
 BINS = BANDS * ROWS
-#: Bits of the filter through which the texts of candidates are fetched; it is all that is broadcast, 8 MB at any size of input.
+#: Bits of the filters through which the texts of candidates and the documents that lose lines are found; 8 MB are all that is broadcast, at any size of input.
 FILTER_BITS = 1 << 26
 #: So many characters are hashed at once.
 BLOCK = 1 << 18
@@ -83,7 +86,7 @@ def _signed(rows: list[int]) -> pa.Array:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         flat = bands([x for _, _, x in held])
-        return pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in held], pa.int64()), pa.array([n for _, n, _ in held], pa.int32()), _signed([key(x) for _, _, x in held]), pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), BANDS).cast(pa.list_(pa.int64()))], ["id", "line", "h", "bands"])
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in held], batch.column(0).type), pa.array([n for _, n, _ in held], pa.int32()), _signed([key(x) for _, _, x in held]), pa.FixedSizeListArray.from_arrays(pa.array(flat.ravel()), BANDS).cast(pa.list_(pa.int64()))], ["id", "line", "h", "bands"])
 
     held: list[tuple[int, int, str]] = []
     size = 0
@@ -132,6 +135,21 @@ def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from bucket.combine_chunks().to_batches()
 
 
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """A filter of FILTER_BITS bits in words of 64: that of every hash in the column h of hashes is set."""
+    # as unsigned numbers modulo a power of two
+    words = hashes.selectExpr(f"shiftright(h & {FILTER_BITS - 1}L, 6) AS word", "shiftleft(1L, cast(h & 63L AS int)) AS bit")
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def _found(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h % np.uint64(FILTER_BITS)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def _texts(bits: np.ndarray, spark):
     shared = spark.sparkContext.broadcast(bits)
 
@@ -143,8 +161,7 @@ def _texts(bits: np.ndarray, spark):
                 lines = parts(text.as_py())
                 if lines:
                     h = np.array([key(x) for _, x in lines], np.uint64)
-                    at = h % np.uint64(FILTER_BITS)
-                    for k in np.flatnonzero(known[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).tolist():
+                    for k in np.flatnonzero(_found(known, h)).tolist():
                         found[int(h[k])] = lines[k][1]
             yield pa.RecordBatch.from_arrays([_signed(list(found)), pa.array(list(found.values()), pa.string())], ["h", "line"])
 
@@ -164,6 +181,9 @@ def _verified(similarity: float):
             return sets[h]
 
         for bucket in runs(batches, ["band"], least=2):
+            if len(forest.up) > HELD:
+                yield from forest.edges()
+                forest = Forest()
             band = bucket.column("band")[0].as_py()
             rows = bucket.column("h").to_pylist()
             texts = bucket.column("line").to_pylist()
@@ -182,9 +202,7 @@ def _verified(similarity: float):
                     else:
                         others.append(c)
                 classes = [joined, *others]
-        pairs = list(forest.stars())
-        for k in range(0, len(pairs), 100_000):
-            yield edge_batch(pairs[k : k + 100_000])
+        yield from forest.edges()
 
     return make
 
@@ -202,26 +220,23 @@ def line_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     Lines, without surrounding white space, link when the Jaccard similarity of their sets of SHINGLE-character shingles is similarity or
     more; a shorter line is one shingle. Equal lines are one node from the start. Lines that share a band are compared exactly until they are united;
     links make components, and of each the line that stands first by id and number is kept. Lines are known by 64-bit hashes.
-    Null and empty texts have no lines. Null ids come first. Rows that repeat an id are one document: equal places share their fate.
+    Null and empty texts have no lines. Ids are of any type that has an order; null ids come first. Rows that repeat an id are one document: equal places share their fate.
     Other columns are neither read nor returned; an empty table gives an empty one.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    lines = table(docs.mapInArrow(_signatures, "id long, line int, h long, bands array<long>"))
+    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    lines = table(docs.mapInArrow(_signatures, f"id {docs.schema['id'].dataType.simpleString()}, line int, h long, bands array<long>"))
     nodes = table(lines.groupBy("h").agg(F.min(F.struct("id", "line")).alias("first"), F.any_value("bands").alias("bands")))
     banded = nodes.select(F.explode("bands").alias("band"), "h").repartition("band").sortWithinPartitions("band")
     candidates = table(banded.mapInArrow(_shared, "band long, h long"))
     listed = candidates.groupBy("h").agg(F.array_sort(F.collect_list("band")).alias("bands")).select(F.explode("bands").alias("band"), "h", "bands")
     needed = table(listed.repartition("band").sortWithinPartitions("band", "h").mapInArrow(_uncovered, "band long, h long, bands array<long>"))
-    # as unsigned numbers modulo a power of two
-    words = needed.selectExpr(f"shiftright(h & {FILTER_BITS - 1}L, 6) AS word", "shiftleft(1L, cast(h & 63L AS int)) AS bit")
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
-    texts = docs.select("text").mapInArrow(_texts(bits, spark), "h long, line string").groupBy("h").agg(F.any_value("line").alias("line"))
+    drop(candidates)
+    texts = docs.select("text").mapInArrow(_texts(_bits(needed), spark), "h long, line string").groupBy("h").agg(F.any_value("line").alias("line"))
     texts = texts.withColumnRenamed("h", "known")
     buckets = needed.join(texts, F.col("h") == F.col("known")).select("band", "h", "bands", "line").repartition("band").sortWithinPartitions("band", "h")
     roots = connected_components(buckets.mapInArrow(_verified(similarity), "u long, v long"))
+    drop(needed)
     named = nodes.select("h", "first").join(roots, F.col("h") == F.col("node"), "left").select("h", "first", F.coalesce("root", "h").alias("root"))
     best = named.groupBy("root").agg(F.min("first").alias("best"))
     classes = named.join(best, "root").select(F.col("h").alias("member"), "best")
@@ -229,11 +244,40 @@ def line_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return lines.select("id", "line", "h").join(classes, F.col("h") == F.col("member")).select(F.col("id").alias(id_col), "line", F.col("best.id").alias("class_id"), F.col("best.line").alias("class_line"), place.eqNullSafe(F.col("best")).alias("kept"))
 
 
+@arrow_udf(T.StringType())
+def _without(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Texts without the lines of these numbers; all lines stay where there are none."""
+    for texts, gone in rows:
+        out = []
+        for text, numbers in zip(texts, gone, strict=True):
+            text, numbers = text.as_py(), numbers.as_py()
+            if numbers:
+                numbers = {*numbers}
+                text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in numbers)
+            out.append(text)
+        yield pa.array(out, pa.string())
+
+
+def _may_hold(bits: np.ndarray, spark):
+    shared = spark.sparkContext.broadcast(bits)
+
+    @arrow_udf(T.BooleanType())
+    def may(hashes: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for h in hashes:
+            yield pa.array(_found(shared.value, h.to_numpy().view(np.uint64)))
+
+    return may
+
+
 def without_repeated_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """All rows and columns of documents, with the lines gone that line_classes doesn't keep; a text may become empty, but no row goes."""
-    gone = line_classes(documents, id_col, text_col, similarity).where(~F.col("kept")).groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line").alias("_lines"))
-    gone = table(gone)
-    text, numbers = documents[text_col], gone["_lines"]
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(numbers, k)), "\n")
-    joined = documents.join(gone, documents[id_col].cast("long").eqNullSafe(gone["_id"]), "left")
-    return joined.select(*(F.when(numbers.isNull(), text).otherwise(kept).alias(c) if c == text_col else documents[c] for c in documents.columns))
+    """All rows and columns of documents, with the lines gone that line_classes doesn't keep; a text may become empty, but no row goes.
+
+    Only documents that lose lines meet their line numbers in a shuffle (and those that a filter of FILTER_BITS takes for such); the others pass as they are.
+    """
+    lost = line_classes(documents, id_col, text_col, similarity).where(~F.col("kept")).groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line").alias("_lines"))
+    lost = table(lost)
+    may = _may_hold(_bits(lost.select(F.xxhash64("_id").alias("h"))), documents.sparkSession)
+    kept = documents.where(~may(F.xxhash64(id_col)))
+    # one plan at every size: never a broadcast of what grows with the documents
+    joined = documents.where(may(F.xxhash64(id_col))).join(lost.hint("merge"), documents[id_col].eqNullSafe(lost["_id"]), "left")
+    return kept.union(joined.select(*(_without(documents[text_col], lost["_lines"]).alias(c) if c == text_col else documents[c] for c in documents.columns)))
