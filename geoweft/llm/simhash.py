@@ -1,4 +1,4 @@
-"""SimHash near-dedup: fingerprints of word shingles, linked by BK-trees within shards that share two blocks of bits."""
+"""SimHash near-dedup: fingerprints of word shingles, linked by BK-trees within shards that share blocks of bits."""
 
 from __future__ import annotations
 
@@ -8,17 +8,18 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from geoweft.llm.common import Forest, connected_components, edge_batch, runs, table
+from geoweft.llm.common import Forest, connected_components, runs
+from geoweft.shared import table
 
 #: So many shingles are turned into bits at once.
 BLOCK = 1 << 15
-#: A tree's nodes with so few members have no children; their members are compared one by one.
-LEAF = 24
+#: Codes that a shard has at most on average, and of a larger one those that make a part.
+SHARD, PART = 1024, 4096
 
 
 def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
@@ -53,16 +54,35 @@ def fingerprints(shingle: int = 4, seed: int = 42):
 
 
 class Tree:
-    """A BK-tree over different codes: a child holds the members at one Hamming distance from its parent's pivot."""
+    """A BK-tree over different codes, each known by its number: a node holds one code, and for every Hamming distance from it a child with the codes at that distance."""
 
-    __slots__ = ("children", "members", "pivot")
+    __slots__ = ("children", "codes", "members", "pivot")
 
-    def __init__(self, members: np.ndarray) -> None:
-        self.members, self.pivot, self.children = members, members[0], {}
-        if len(members) > LEAF:
-            rest = members[1:]
-            d = np.bitwise_count(rest ^ self.pivot)
-            self.children = {int(e): Tree(rest[d == e]) for e in np.unique(d)}
+    def __init__(self, codes: np.ndarray, members: np.ndarray | None = None) -> None:
+        todo = [(self, np.arange(len(codes)) if members is None else members)]
+        while todo:
+            node, members = todo.pop()
+            node.codes, node.members, node.pivot, rest = codes, members, members[0], members[1:]
+            d = np.bitwise_count(codes[rest] ^ codes[node.pivot])
+            node.children = {int(e): Tree.__new__(Tree) for e in np.unique(d)}
+            todo += ((child, rest[d == e]) for e, child in node.children.items())
+
+
+class Groups:
+    """The group of each of n numbers, known by its smallest member."""
+
+    def __init__(self, n: int) -> None:
+        self.of = np.arange(n)
+
+    def unite(self, first: int, others: np.ndarray) -> None:
+        found = np.unique(np.append(self.of[others], self.of[first]))
+        if len(found) > 1:
+            self.of[np.isin(self.of, found[1:])] = found[0]
+
+    def hand_over(self, codes: np.ndarray, forest: Forest) -> None:
+        at = np.flatnonzero(self.of != np.arange(len(self.of)))
+        for a, b in zip(codes[self.of[at]].tolist(), codes[at].tolist(), strict=True):
+            forest.union(a, b)
 
 
 def link(tree: Tree, radius: int, forest: Forest) -> None:
@@ -71,83 +91,98 @@ def link(tree: Tree, radius: int, forest: Forest) -> None:
     Members within the radius of a pivot are connected through it, so nothing below such an edge is looked at again for their own sake, and of two
     children only those are compared whose edges differ by the radius at most.
     """
-    todo = [tree]
+    groups, todo = Groups(len(tree.codes)), [tree]
     while todo:
         t = todo.pop()
-        if not t.children:
-            _compare(t.members, t.members, radius, forest)
-            continue
         for e, child in t.children.items():
             if e <= radius:
-                for x in child.members.tolist():
-                    forest.union(int(t.pivot), x)
+                groups.unite(t.pivot, child.members)
             else:
                 todo.append(child)
-        for (e, a), (f, b) in combinations(sorted(t.children.items()), 2):
+        for (e, a), (f, b) in combinations(sorted(t.children.items(), key=lambda x: x[0]), 2):
             if f - e <= radius < f:
-                search(a, b.members, radius, forest)
+                search(a, b.members, radius, groups)
+    groups.hand_over(tree.codes, forest)
 
 
-def search(tree: Tree, queries: np.ndarray, radius: int, forest: Forest) -> None:
+def search(tree: Tree, queries: np.ndarray, radius: int, groups: Groups) -> None:
     """Unites queries with the members of the tree within the radius, following only edges within the radius of the query's distance to the pivot."""
     todo = [(tree, queries)]
     while todo:
         t, q = todo.pop()
-        if len(q) * len(t.members) > 4096 and len({forest.find(x) for x in q.tolist()} | {forest.find(x) for x in t.members.tolist()}) == 1:
-            continue
-        if not t.children:
-            _compare(t.members, q, radius, forest)
-            continue
-        d = np.bitwise_count(q ^ t.pivot).astype(np.int64)
-        for x in q[d <= radius].tolist():
-            forest.union(int(t.pivot), x)
+        d = np.bitwise_count(t.codes[q] ^ t.codes[t.pivot]).astype(np.int8)
+        close = d <= radius
+        if close.any():
+            groups.unite(t.pivot, q[close])
         for e, child in t.children.items():
             near = np.abs(d - e) <= radius
             if e <= radius:
-                near &= d > radius
+                # such queries and all below this edge are connected through the pivot
+                near &= ~close
             if near.any():
                 todo.append((child, q[near]))
 
 
-def _compare(members: np.ndarray, queries: np.ndarray, radius: int, forest: Forest) -> None:
-    for k in range(0, len(queries), 4096):
-        part = queries[k : k + 4096]
-        i, j = np.nonzero(np.bitwise_count(members[:, None] ^ part[None, :]) <= radius)
-        for a, b in zip(members[i].tolist(), part[j].tolist(), strict=True):
-            if a != b:
-                forest.union(a, b)
-
-
 def _linked(radius: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple[int, int]] = []
-        for shard in runs(batches, ["blocks", "key"], least=2):
-            codes = shard.column("fp").to_numpy().view(np.uint64)
-            forest = Forest()
-            link(Tree(codes), radius, forest)
+        for shard in runs(batches, ["blocks", "key", "i", "j"], least=2):
+            codes, salt = shard.column("fp").to_numpy().view(np.uint64), shard.column("salt").to_numpy()
+            i, j = shard.column("i")[0].as_py(), shard.column("j")[0].as_py()
+            own, forest = np.flatnonzero(salt == i), Forest()
+            if i == j:
+                link(Tree(codes), radius, forest)
+            elif 0 < len(own) < len(codes):
+                groups = Groups(len(codes))
+                search(Tree(codes, own), np.flatnonzero(salt == j), radius, groups)
+                groups.hand_over(codes, forest)
             pairs += forest.stars()
             if len(pairs) > 100_000:
-                yield edge_batch([tuple(np.array(p, np.uint64).view(np.int64).tolist()) for p in pairs])
+                yield _edges(pairs)
                 pairs = []
         if pairs:
-            flat = np.array(pairs, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["u", "v"])
+            yield _edges(pairs)
 
     return make
 
 
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    flat = np.array(pairs, np.uint64).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["u", "v"])
+
+
+def block_count(n: int, radius: int, bits: int) -> int:
+    """Into how many blocks the bits of n codes are cut, so that a shard, known by all but radius blocks, has about SHARD codes at most."""
+    m = radius + 1
+    while m < bits // 4 and n > SHARD << bits * (m - radius) // m:
+        m += 1
+    return m
+
+
 def links(codes: DataFrame, radius: int = 4, bits: int = 64) -> DataFrame:
     """Edges (u, v) between the different codes in column fp (long) that connect exactly what steps of at most radius bits connect.
 
-    The bits fall into radius + 2 blocks, so codes within the radius agree in two blocks at least; each pair of blocks with its bits is a shard. A
-    shard's BK-tree is built where its rows meet, not broadcast: the trees grow with the data, so no size bound for a broadcast could be given.
+    The bits fall into m blocks, at least radius + 1. Codes within the radius differ in radius blocks at most, so they agree in m - radius others: each choice of so
+    many blocks, with their bits, is a shard, and every shard is a BK-tree in which its own codes are searched. A shard of more than PART codes is dealt
+    into parts; the tree of one part meets the codes of another in a task of its own. The trees are built where a shard's rows meet, not broadcast: they
+    hold every code, so no size bound for a broadcast could be given.
     """
-    n = radius + 2
-    edges = [round(k * bits / n) for k in range(n + 1)]
-    block = [F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << edges[k + 1] - edges[k]) - 1)) for k in range(n)]
-    shards = F.array(*(F.struct(F.lit(k).alias("blocks"), (F.shiftleft(block[a], edges[b + 1] - edges[b]) + block[b]).alias("key")) for k, (a, b) in enumerate(combinations(range(n), 2))))
+    m = block_count(codes.count(), radius, bits)
+    cuts = [round(k * bits / m) for k in range(m + 1)]
+    block = [F.shiftrightunsigned("fp", cuts[k]).bitwiseAND(F.lit((1 << cuts[k + 1] - cuts[k]) - 1)) for k in range(m)]
+
+    def key(chosen: tuple[int, ...]) -> Column:
+        out = block[chosen[0]]
+        for k in chosen[1:]:
+            out = F.shiftleft(out, cuts[k + 1] - cuts[k]) + block[k]
+        return out
+
+    shards = F.array(*(F.struct(F.lit(k).alias("blocks"), key(c).alias("key")) for k, c in enumerate(combinations(range(m), m - radius))))
     rows = codes.select("fp", F.explode(shards).alias("s")).select("fp", "s.blocks", "s.key")
-    return rows.repartition("blocks", "key").sortWithinPartitions("blocks", "key", "fp").mapInArrow(_linked(radius), "u long, v long")
+    hot = rows.groupBy("blocks", "key").agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1")
+    parted = rows.join(hot, ["blocks", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("parts")))
+    cells = parted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("blocks", "key", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "fp", "salt")
+    return cells.repartition("blocks", "key", "i", "j").sortWithinPartitions("blocks", "key", "i", "j", "fp").mapInArrow(_linked(radius), "u long, v long")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
