@@ -1,4 +1,4 @@
-"""Embedding near-dedup: all pairs of a label, or passes of sorted random projections as many as its size asks for, joined by union-find, then exact links within components."""
+"""Embedding near-dedup: passes of sorted random projections, as many as a label's size asks for, joined by union-find, then exact links within components."""
 
 from __future__ import annotations
 
@@ -7,15 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweft.llm.common import Forest, connected_components, edge_batch, runs, table
+from geoweft.llm.common import HELD, Forest, connected_components, runs
+from geoweft.shared import table
 
-#: Labels of so many distinct vectors at most are compared pair by pair, dealt over the pairs of so many parts.
-EXACT, PARTS = 32_768, 8
-#: Of larger labels: neighbours compared in a pass, bits of its key, and the part of links at the threshold that all passes together may miss.
-WINDOW, BITS, MISS = 1024, 32, 0.01
+#: Neighbours compared in a pass, bits of its key, and the part of links at the threshold that all passes together may miss.
+WINDOW, BITS, MISS = 1024, 32, 0.002
+#: A pass's order is cut into blocks of so many windows, each of which sees one window of the next block too.
+WINDOWS = 4
 #: So many vectors are compared at once.
 SLICE = 512
 #: So many vectors of a component are compared with so many others in one piece of work.
@@ -36,15 +37,15 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def effort(n: int, threshold: float, window: int, miss: float) -> tuple[int, int]:
-    """Passes, and bits of a pass's key that deal its vectors out, for a label of n vectors.
+def effort(n: int, threshold: float, window: int, miss: float) -> int:
+    """Passes for a label of n vectors.
 
     Two vectors of the threshold's cosine have a sign in common with probability q. If they share the first log2(n / window), about window vectors do, so
-    they are compared. Groups of equal first bits hold 4 windows or more, so their borders cost less than the window does.
+    they stand within a window of each other in the pass's order and are compared.
     """
     q = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
     met = q ** max(0.0, math.log2(n / window))
-    return 1 if met >= 1 else math.ceil(math.log(miss) / math.log1p(-met)), max(0, math.floor(math.log2(n / (4 * window))))
+    return 1 if met >= 1 else math.ceil(math.log(miss) / math.log1p(-met))
 
 
 def unite(forest: Forest, nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -59,28 +60,6 @@ def unite(forest: Forest, nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> No
             forest.union(u, v)
 
 
-def _stars(forest: Forest) -> Iterator[pa.RecordBatch]:
-    pairs = list(forest.stars())
-    for k in range(0, len(pairs), 100_000):
-        yield edge_batch(pairs[k : k + 100_000])
-
-
-def _pairs(threshold: float):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        for cell in runs(batches, ["label", "dim", "i", "j"], least=2):
-            x, node, salt = matrix(cell.column("vector")), cell.column("node").to_numpy(), cell.column("salt").to_numpy()
-            i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-            own, other = np.flatnonzero(salt == i), np.flatnonzero(salt == j)
-            for k in range(0, len(own), SLICE):
-                a, b = np.nonzero(x[own[k : k + SLICE]] @ x[other].T >= threshold)
-                a, b = own[k + a], other[b]
-                unite(forest, node, a[a != b], b[a != b])
-        yield from _stars(forest)
-
-    return make
-
-
 def _keys(threshold: float, window: int, miss: float, seed: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -92,49 +71,54 @@ def _keys(threshold: float, window: int, miss: float, seed: int):
                     own = part.slice(at, 2048)
                     x = matrix(own.column("vector"))
                     sizes, which = np.unique(own.column("n").to_numpy(), return_inverse=True)
-                    passes, prefix = np.array([effort(n, threshold, window, miss) for n in sizes.tolist()])[which].T
+                    passes = np.array([effort(n, threshold, window, miss) for n in sizes.tolist()])[which]
                     for p in range(passes.max()):
                         if (p, dim) not in planes:
                             planes[p, dim] = np.random.default_rng([seed, dim, p]).standard_normal((dim, BITS))
                         in_pass = passes > p
                         key = (x[in_pass] @ planes[p, dim] > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
                         rows = own.filter(pa.array(in_pass))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), p, np.int32)), rows.column("label"), rows.column("dim"), pa.array(key >> BITS - prefix[in_pass]), pa.array(key), rows.column("node"), rows.column("vector")], ["pass", "label", "dim", "prefix", "key", "node", "vector"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), p, np.int32)), rows.column("label"), rows.column("dim"), pa.array(key), rows.column("node")], ["pass", "label", "dim", "key", "node"])
 
     return make
 
 
 def _neighbours(threshold: float, window: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, tail = Forest(), None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            both = pa.Table.from_batches([batch] if tail is None else [*tail, batch]).combine_chunks()
-            known = both.num_rows - batch.num_rows
-            dims = both.column("dim").to_numpy()
-            nodes = both.column("node").to_numpy()
-            codes = [both.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("pass", "label", "dim", "prefix")]
+        forest = Forest()
+        for block in runs(batches, ["block"], least=2):
+            if len(forest.up) > HELD:
+                yield from forest.edges()
+                forest = Forest()
+            nodes, dims, tail = block.column("node").to_numpy(), block.column("dim").to_numpy(), block.column("tail").to_numpy(zero_copy_only=False)
+            codes = [block.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("pass", "label", "dim")]
             group = np.r_[0, np.cumsum(np.logical_or.reduce([c[1:] != c[:-1] for c in codes]))]
             for dim in np.unique(dims):
                 own = np.flatnonzero(dims == dim)
-                x, new = matrix(both.column("vector").take(pa.array(own))), int(np.searchsorted(own, known))
-                for k in range(0, len(own), SLICE):
-                    start, end = max(k, new), min(len(own), k + SLICE + window)
-                    if start >= end:
-                        continue
-                    near = x[k : k + SLICE] @ x[start:end].T >= threshold
-                    near &= group[own[k : k + SLICE], None] == group[own[start:end]]
+                x = matrix(block.column("vector").take(pa.array(own)))
+                for k in range(0, int((~tail[own]).sum()), SLICE):
+                    end = min(len(own), k + SLICE + window)
+                    near = x[k : k + SLICE] @ x[k:end].T >= threshold
+                    near &= group[own[k : k + SLICE], None] == group[own[k:end]]
                     a, b = np.nonzero(near)
-                    a, b = own[k + a], own[start + b]
+                    a, b = own[k + a], own[k + b]
                     inside = (b > a) & (b - a <= window)
                     unite(forest, nodes, a[inside], b[inside])
-            tail = both.slice(max(0, both.num_rows - window)).to_batches()
-        yield from _stars(forest)
+        yield from forest.edges()
 
     return make
 
 
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows with their number from 0 in order. They are dealt to tasks by range and written; each range is numbered by itself and starts where those before it end."""
+    ranges = table(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each range
+    starts = ranges.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("start"))
+    at = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return ranges.withColumn("at", at).join(starts, "range").withColumn("number", F.col("start") + F.col("at")).drop("range", "at", "start")
+
+
 def _counts(threshold: float):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, links = [], []
@@ -161,14 +145,15 @@ def _counts(threshold: float):
     return make
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", threshold: float = 0.93, exact: int = EXACT, window: int = WINDOW, miss: float = MISS, seed: int = 42) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", threshold: float = 0.93, window: int = WINDOW, miss: float = MISS, seed: int = 42) -> DataFrame:
     """One row per row of vectors: its id, n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null, their lengths are equal, and their cosine in double precision is threshold or more. Equal vectors
-    of one label are one node with a number of copies from the start. Labels of exact nodes at most are compared pair by pair and miss nothing. Larger ones are
-    ordered by random hyperplanes' signs in as many passes as effort() finds for their size, and each node is compared with the window before it; for
-    vectors spread evenly over the hyperplanes, at most about miss of the links at the threshold stay unfound, fewer above it. What is found is united. Within
-    each component all pairs are then compared exactly, in blocks, so n_links counts every link there, however many.
+    of one label are one node with a number of copies from the start. The nodes of a label are put in order by the signs of random hyperplanes, in as many
+    passes as effort() finds for their number, and each is compared with the window after it; the one order of all passes is cut into blocks of
+    equal size that overlap by a window, so a hot label spreads over tasks and no pair is lost at a border. For vectors spread evenly over the
+    hyperplanes, at most about miss of the links at the threshold stay unfound, fewer above it, none in labels of window nodes or less. What is found is
+    united. Within each component all pairs are then compared exactly, in blocks, so n_links counts every link there, however many.
     n_links is the number of other rows linked directly; component_id the smallest id that links reach, its own included; kept tells
     whether that is its own. A vector that isn't usable, or whose label is null, links with nothing. Repeated rows count as copies, each on its own.
     Null ids are never the smallest. Other columns are neither read nor returned; an empty table gives an empty one.
@@ -177,14 +162,17 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", label_col: str = "l
     fit = F.col("label").isNotNull() & usable(F.col("vector"))
     good = rows.where(fit).withColumn("node", F.xxhash64("label", "vector"))
     nodes = table(good.groupBy("node", "label", "vector").agg(F.count("*").alias("copies"), F.min("id").alias("first")).withColumn("dim", F.size("vector")))
-    kind = nodes.schema["vector"].dataType.simpleString()
-    counted = nodes.join(nodes.groupBy("label", "dim").agg(F.count("*").alias("n")), ["label", "dim"]).select("label", "dim", "n", "node", "vector")
-    salted = counted.where(F.col("n").between(2, exact)).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("long"))
-    pairs = salted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).select("label", "dim", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "node", "salt", "vector")
-    close = pairs.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j").mapInArrow(_pairs(threshold), "u long, v long")
-    keyed = counted.where(F.col("n") > exact).mapInArrow(_keys(threshold, window, miss, seed), f"pass int, label string, dim int, prefix long, key long, node long, vector {kind}")
-    dealt = keyed.repartition("pass", "label", "dim", "prefix").sortWithinPartitions("pass", "label", "dim", "prefix", "key", "node")
-    roots = table(connected_components(close.union(dealt.mapInArrow(_neighbours(threshold, window), "u long, v long"))))
+    counted = nodes.join(nodes.groupBy("label", "dim").agg(F.count("*").alias("n")), ["label", "dim"]).where("n > 1").select("label", "dim", "n", "node", "vector")
+    order = ["pass", "label", "dim", "key", "node"]
+    placed = numbered(counted.mapInArrow(_keys(threshold, window, miss, seed), "pass int, label string, dim int, key long, node long"), order)
+    size = WINDOWS * window
+    block = F.floor(F.col("number") / size)
+    # a block's first window is the tail of the block before it
+    twice = F.array(F.struct(block.alias("block"), F.lit(False).alias("tail")), F.struct((block - 1).alias("block"), F.lit(True).alias("tail")))
+    cut = placed.withColumn("b", F.explode(F.when(F.col("number") % size < window, twice).otherwise(F.slice(twice, 1, 1)))).select(*order, "number", "b.block", "b.tail")
+    met = cut.join(nodes.select("node", "vector"), "node").select("block", "number", "tail", *order, "vector")
+    close = met.repartition("block").sortWithinPartitions("block", "number").mapInArrow(_neighbours(threshold, window), "u long, v long")
+    roots = table(connected_components(close))
     sized = roots.join(roots.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("k")), "root")
     members = nodes.join(sized, "node").select("root", "node", "copies", "vector", "k", F.pmod(F.xxhash64("node"), F.col("k")).alias("salt"))
     cells = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).select("root", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "node", "salt", "copies", "vector")
