@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -16,8 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
-from geoweft.llm.common import table
-from geoweft.llm.tokens import BATCH_CHARS, REMEMBERED, _chunks, load, slices
+from geoweft.shared import table
+from geoweft.llm.tokens import BATCH_BYTES, REMEMBERED, STOPS, _chunks, load, signs, simple, size, slices
 
 #: Pieces are numbered in chunks of about this many.
 CHUNK = 20_000
@@ -115,47 +116,38 @@ def plain(text: str) -> str:
 class Encoder:
     """Token ids of whole texts as little-endian bytes, exactly as one call of the tokenizer gives them.
 
-    The word tokenizer drops white space, so no token crosses a space: a text is the sum of its parts between spaces, and equal parts are encoded once.
+    The word tokenizer drops white space, so no token crosses a space: a text is the sum of its parts between spaces, and equal parts are encoded once. A word of plain letters is one
+    piece, which the model takes without the rest of the library, and a stop after it is another. All else, letters beyond Latin-1 too, goes through the library as it is.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = load(path), {}
+        self.tokenizer, self.known, self.held = load(path), {}, 0
+        self.pieces = self.tokenizer.model.tokenize
+        self.stops = {x: self._bytes(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in STOPS}
 
-    def forget(self) -> None:
-        self.known.clear()
-        pa.default_memory_pool().release_unused()
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The parts of the texts, all of them known afterwards."""
         parts = [plain(x).split(" ") for x in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = [x for x in set().union(*parts) if x not in known]
-        # a word and a stop after it are two pieces for the tokenizer
-        stopped = [x for x in new if x[-1:] in (",", ".") and x[:-1].isalpha()]
-        words = {x[:-1] for x in stopped} | {x for x in new if x.isalpha()}
-        self._words([x for x in words if x not in known])
-        self._others([x for x in [*new, ",", "."] if x not in known and not (x[-1:] in (",", ".") and x[:-1].isalpha())])
-        known.update((x, known[x[:-1]] + known[x[-1]]) for x in stopped)
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
+        known, pieces, stops = self.known, self.pieces, self.stops
+        new, others = set().union(*parts).difference(known), []
+        for x in new:
+            word = x[:-1] if x[-1:] in STOPS else x
+            if simple(word):
+                ids = [t.id for t in pieces(signs(word.lower()))]
+                known[x] = struct.pack(f"<{len(ids)}I", *ids) if word is x else struct.pack(f"<{len(ids)}I", *ids) + stops[x[-1]]
+            else:
+                others.append(x)
+        for group in _chunks(others):
+            known.update((x, self._bytes(e.ids)) for x, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True))
+        self.held += 5 * sum(map(len, new)) + 150 * len(new)
         return parts
 
-    def _others(self, parts: list[str]) -> None:
-        for group in _chunks(parts):
-            for x, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                self.known[x] = np.array(e.ids, "<u4").tobytes()
-
-    def _words(self, words: list[str]) -> None:
-        """Words of letters alone, many at a time: each is one piece, and the tokenizer tells the piece of each token."""
-        groups = [words[k : k + 500] for k in range(0, len(words), 500)]
-        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            piece, ids = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4").tobytes()
-            cuts = [*(4 * np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])).tolist(), len(ids)]
-            if len(cuts) == len(group) + 1:
-                self.known.update((x, ids[a:b]) for x, a, b in zip(group, cuts, cuts[1:], strict=False))
-            else:  # a word that is more than one piece for the tokenizer
-                self._others(group)
-
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for group in _chunks_of(texts):
             for parts in self.learn(group):
@@ -166,8 +158,8 @@ def _chunks_of(texts: list[str]) -> Iterator[list[str]]:
     out, n = [], 0
     for x in texts:
         out.append(x)
-        n += len(x)
-        if n >= 2 * BATCH_CHARS:
+        n += size(x)
+        if n >= 2 * BATCH_BYTES:
             yield out
             out, n = [], 0
     if out:
@@ -190,13 +182,20 @@ def pieces(path: str, capacity: int):
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         end, e = np.array([END], "<u4").tobytes(), encoder(path)
         for texts in batches:
-            out = []
+            ends, piece, start, length, crc = [0], [], [], [], []
             for rows in slices(texts):
                 for ids in e.encode(rows):
                     ids += end
-                    out.append([{"piece": k, "start": at // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} for k, at in enumerate(range(0, len(ids), 4 * capacity)) for part in [ids[at : at + 4 * capacity]]])
-            yield pa.array(out, to_arrow_type(PIECES))
-        e.forget()
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        piece.append(k)
+                        start.append(at // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                    ends.append(len(piece))
+            fields = pa.StructArray.from_arrays([pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["piece", "start", "length", "ids_crc32"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields).cast(to_arrow_type(PIECES))
+        pa.default_memory_pool().release_unused()
 
     return cut
 

@@ -14,14 +14,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-#: A batch for the tokenizer ends at about so many characters; a longer text is split at safe boundaries.
-BATCH_CHARS = 1 << 18
-#: So many parts of text are remembered in each worker with what they encode to; then it forgets them all.
-REMEMBERED = 250_000
+#: A batch for the tokenizer ends at about so many bytes of UTF-8; a longer text is split at safe boundaries.
+BATCH_BYTES = 1 << 18
+#: About so many bytes of parts of text, with what they encode to, are remembered in each worker, over all its tasks; then it forgets them all.
+REMEMBERED = 32 << 20
 #: Rows of an Arrow batch that become Python strings at a time.
 ROWS = 128
-#: A space here isn't a safe boundary, as the tokenizer may join it with the white space beside it.
-UNSAFE = re.compile(r"\A | \Z| \s|\s ")
+#: A space before anything but white space (and what older tables of Unicode take for it) begins a piece. In most texts every space is such a one.
+SAFE, OTHER = re.compile(r" (?=[^\s\u180e\u200b\ufeff])"), re.compile(r" (?:[\s\u180e\u200b\ufeff]|\Z)")
+
+
+#: The byte-level tokenizers' signs for bytes that can't be printed; all other bytes stand for themselves.
+SIGNS = {byte: chr(256 + k) for k, byte in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+SPACE = SIGNS[32]
+STOPS = (",", ".")
+
+
+def size(text: str) -> int:
+    """Bytes of UTF-8."""
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
+def signs(text: str) -> str:
+    """A text's bytes as the tokenizers' models know them."""
+    return text if text.isascii() else text.encode().decode("latin-1").translate(SIGNS)
+
+
+def simple(word: str) -> bool:
+    """Whether a word is letters of Latin-1 alone: one piece for the tokenizers' patterns, whatever stands around it, and nothing that composing would change."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0100")
 
 
 def load(path: str):
@@ -39,12 +60,12 @@ def slices(texts: pa.Array) -> Iterator[list[str]]:
 
 
 def _chunks(parts: list[str]) -> Iterator[list[str]]:
-    """Lists of parts with about BATCH_CHARS characters each: balanced by size, not by number."""
+    """Lists of parts with about BATCH_BYTES bytes each: balanced by size, not by number."""
     out, n = [], 0
     for x in parts:
         out.append(x)
-        n += len(x)
-        if n >= BATCH_CHARS:
+        n += size(x)
+        if n >= BATCH_BYTES:
             yield out
             out, n = [], 0
     if out:
@@ -54,48 +75,47 @@ def _chunks(parts: list[str]) -> Iterator[list[str]]:
 class PieceCounter:
     """Counts of tokens of whole texts, exactly as one call of the tokenizer gives them.
 
-    The byte-level tokenizer's pattern ends a piece before every space that follows a character other than white space, and
-    that space begins the next piece if it is followed by such a character. So a text is the sum of its parts, cut before such spaces;
-    equal parts are encoded once. A text in which any space stands beside other white space, or at an end, is encoded whole.
-    Special strings hold no space, so they are never cut.
+    The byte-level tokenizer's pattern lets a space before anything but white space begin a piece, whatever stands before it: white space leaves its last
+    character to what follows. So a text is the sum of its parts, cut before such spaces; equal parts are encoded once, and a long text is
+    encoded part by part. A word of plain letters is one piece, which the model takes without the rest of the library, and a stop after it is another, of one
+    token. Special strings hold no space, so they are never cut.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.first, self.rest = load(path), {}, {}
+        self.tokenizer, self.first, self.rest, self.held = load(path), {}, {}, 0
+        self.pieces = self.tokenizer.model.tokenize
 
     def encode(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for part in _chunks(texts) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
-    def forget(self) -> None:
-        """At a task's end, so that a worker that goes on to other work keeps no more than the tokenizer."""
-        self.first.clear()
-        self.rest.clear()
-        pa.default_memory_pool().release_unused()
-
     def _learn(self, known: dict, parts: set[str], prefix: str) -> None:
-        if new := [x for x in parts if x not in known]:
-            known.update(zip(new, self.encode([prefix + x for x in new]), strict=True))
+        new, others = parts.difference(known), []
+        space, pieces = SPACE if prefix else "", self.pieces
+        for x in new:
+            word = x[:-1] if x[-1:] in STOPS else x
+            if simple(word):
+                known[x] = len(pieces(space + signs(word))) + (word is not x)
+            else:
+                others.append(x)
+        known.update(zip(others, self.encode([prefix + x for x in others]), strict=True))
+        self.held += sum(map(len, new)) + 150 * len(new)
 
     def _add(self, todo: list[tuple[int, list[str]]], out: list[int]) -> None:
         """Sums the parts of each text of todo, and empties todo."""
+        if self.held > REMEMBERED:
+            self.first, self.rest, self.held = {}, {}, 0
         self._learn(self.first, {p[0] for _, p in todo}, "")
         self._learn(self.rest, set().union(*(p[1:] for _, p in todo)), " ")
         for k, p in todo:
             out[k] = self.first[p[0]] + sum(map(self.rest.__getitem__, p[1:]))
         todo.clear()
-        for known in (self.first, self.rest):
-            if len(known) > REMEMBERED:
-                known.clear()
 
     def counts(self, texts: list[str]) -> list[int]:
         out, todo, n = [0] * len(texts), [], 0
-        whole = [k for k, x in enumerate(texts) if UNSAFE.search(x)]
-        for k, tokens in zip(whole, self.encode([texts[k] for k in whole]), strict=True):
-            out[k] = tokens
-        for k in sorted(set(range(len(texts))) - set(whole)):
-            todo.append((k, texts[k].split(" ")))
-            n += len(texts[k])
-            if n >= 2 * BATCH_CHARS:
+        for k, x in enumerate(texts):
+            todo.append((k, SAFE.split(x) if OTHER.search(x) else x.split(" ")))
+            n += size(x)
+            if n >= 2 * BATCH_BYTES:
                 self._add(todo, out)
                 n = 0
         if todo:
@@ -117,7 +137,7 @@ def lengths(path: str) -> Callable[..., Column]:
         c = counter(path)
         for texts in batches:
             yield pa.array([n for part in slices(texts) for n in c.counts(part)], pa.int64())
-        c.forget()
+        pa.default_memory_pool().release_unused()
 
     return count
 
