@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,8 +17,8 @@ from pyspark.sql.functions import arrow_udf
 ORDERS, BUCKETS = (2, 3), 1 << 15
 #: So many characters, divided by the number of languages, are scored at once.
 CELLS = 1 << 20
-#: The model's matrix, which is broadcast, has a column for each language; more languages are refused.
-MAX_LANGUAGES = 256
+#: The model is broadcast in matrices of a column for each language, at most so many; 8 MB each.
+TOGETHER = 64
 UNKNOWN = "und"
 _MIX = np.array([2654435761, 2246822519, 3266489917], np.uint32)
 
@@ -70,18 +71,32 @@ class Model:
     table: np.ndarray
     prior: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        known = [k for k, x in enumerate(texts) if x is not None and has_letter(x)] if self.languages else []
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Log joint probabilities by text and language."""
         total = np.zeros((len(texts), len(self.languages)))
-        for doc, bucket in blocks([texts[k] for k in known], max(4096, CELLS // max(1, len(self.languages)))):
+        for doc, bucket in blocks(texts, max(4096, CELLS // max(1, len(self.languages)))):
             first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
             total[doc[first]] += np.add.reduceat(self.table[bucket], first, axis=0, dtype=np.float64)
-        for j, k in enumerate(known):
-            s = total[j] + self.prior
-            best = int(s.argmax())
-            names[k], scores[k] = self.languages[best], float(1 / np.exp(s - s[best]).sum())
-        return names, scores
+        return total + self.prior
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The likeliest language of each text, and its share of the probabilities of all languages."""
+        names, best, rest = self.likeliest(texts)
+        return [x or UNKNOWN for x in names], [math.exp(-r) if x else 0.0 for x, r in zip(names, rest, strict=True)]
+
+    def likeliest(self, texts: list[str | None]) -> tuple[list[str | None], list[float], list[float]]:
+        """The likeliest of these languages (null for a text without any letter), its log joint probability, and how much larger the logarithm of all their sum is."""
+        known = [k for k, x in enumerate(texts) if x is not None and has_letter(x)] if self.languages else []
+        names, best, rest = [None] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        for k, s in zip(known, self.scores([texts[k] for k in known]), strict=True):
+            at = int(s.argmax())
+            names[k], best[k], rest[k] = self.languages[at], float(s[at]), float(np.log(np.exp(s - s[at]).sum()))
+        return names, best, rest
+
+    def parts(self) -> list[Model]:
+        """The same model as one of at most TOGETHER languages after another."""
+        n = len(self.languages)
+        return [Model(self.languages[k : k + TOGETHER], np.ascontiguousarray(self.table[:, k : k + TOGETHER]), self.prior[k : k + TOGETHER]) for k in range(0, max(1, n), TOGETHER)]
 
 
 def held_out(id_col: str) -> Column:
@@ -108,46 +123,59 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     rows_per_language bounds the sample of n-grams: a language with more rows gives about that many, chosen by a hash of the id; their whole texts count.
     Priors are the shares of all rows that have a letter.
-    What reaches the driver has a row for each language and bucket at most, whatever the size of documents. Without any such document the
-    model knows no language and predicts "und". More than MAX_LANGUAGES languages raise ValueError.
+    What reaches the driver at once has a row for each of TOGETHER languages and bucket at most, whatever the size of documents; what stays there is
+    a column of numbers for each language. Without any such document the model knows no language and predicts "und".
     """
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out("id"))
     # \p{L} is what has_letter() finds
-    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(r"\p{L}")).alias("docs")).limit(MAX_LANGUAGES + 1).collect()
-    sizes = {r["lang"]: r["n"] for r in found}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(r"\p{L}")).alias("docs")).collect()
+    found.sort(key=lambda r: r["lang"])
+    languages = [r["lang"] for r in found]
+    if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows_per_language / n))).otherwise(share)
-    sample = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 20)) < share * (1 << 20)))
-    counted = sample.select("text", "lang").mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(sizes)
-    at = {x: k for k, x in enumerate(languages)}
-    counts, docs = np.zeros((BUCKETS, len(languages))), np.zeros(len(languages))
-    for r in found:
-        docs[at[r["lang"]]] = r["docs"]
-    for lang, bucket, n in zip(*(counted.column(k).to_pylist() for k in range(3)), strict=True):
-        counts[bucket, at[lang]] = n
-    smooth = counts + smoothing
-    return Model(languages, np.log(smooth / smooth.sum(axis=0)).astype(np.float32), np.log((docs + 1) / (docs + 1).sum()))
-
-
-def predictor(spark: SparkSession, model: Model):
-    """A Column function of a text: struct of lang_pred and score. The model is broadcast; MAX_LANGUAGES and BUCKETS bound it to 32 MB."""
-    shared = spark.sparkContext.broadcast(model)
-
-    @arrow_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
-    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            names, scores = [], []
-            for k in range(0, len(texts), 256):  # a worker never holds all of a batch twice
-                n, s = shared.value.predict(texts.slice(k, 256).to_pylist())
-                names += n
-                scores += s
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+    table = np.zeros((BUCKETS, len(languages)), np.float32)
+    for k in range(0, len(languages), TOGETHER):
+        share = F.lit(0.0)
+        for r in found[k : k + TOGETHER]:
+            share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, rows_per_language / r["n"]))).otherwise(share)
+        sample = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 20)) < share * (1 << 20)))
+        number = F.array_position(F.array(*map(F.lit, languages[k : k + TOGETHER])), F.col("lang")) - 1
+        counted = sample.select("text", "lang").mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).select(number.cast("int").alias("at"), F.col("bucket").cast("int").alias("bucket"), "n").toArrow()
+        counts = np.zeros((BUCKETS, len(found[k : k + TOGETHER])))
+        counts[counted.column("bucket").to_numpy(), counted.column("at").to_numpy()] = counted.column("n").to_numpy()
+        smooth = counts + smoothing
+        table[:, k : k + TOGETHER] = np.log(smooth / smooth.sum(axis=0))
+    docs = np.array([r["docs"] for r in found], float)
+    return Model(languages, table, np.log((docs + 1) / (docs + 1).sum()))
+
+
+def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A Column function of a text: struct of lang_pred and score. The model is broadcast in parts of TOGETHER languages, each of which gives its likeliest one."""
+
+    def one(part: Model):
+        shared = spark.sparkContext.broadcast(part)
+
+        @arrow_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("best", T.DoubleType()), T.StructField("rest", T.DoubleType())]))
+        def likeliest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                out: tuple[list, list, list] = ([], [], [])
+                for k in range(0, len(texts), 256):  # a worker never holds all of a batch twice
+                    for held, new in zip(out, shared.value.likeliest(texts.slice(k, 256).to_pylist()), strict=True):
+                        held += new
+                yield pa.StructArray.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())], ["name", "best", "rest"])
+
+        return likeliest
+
+    udfs = [one(p) for p in model.parts()]
+
+    def joined(found: Column) -> Column:
+        # parts stand in the order of their languages, and only a larger one replaces an earlier
+        top = F.aggregate(found, F.get(found, F.lit(0)), lambda a, x: F.when(x["best"] > a["best"], x).otherwise(a))
+        others = F.aggregate(found, F.lit(0.0), lambda s, x: s + F.exp(x["best"] - top["best"]) * F.exp(x["rest"]))
+        return F.struct(F.coalesce(top["name"], F.lit(UNKNOWN)).alias("lang_pred"), F.when(top["name"].isNull(), 0.0).otherwise(1 / others).alias("score"))
+
+    def predict(text: Column) -> Column:
+        return F.get(F.transform(F.array(F.array(*(u(text) for u in udfs))), joined), F.lit(0))
 
     return predict
 
