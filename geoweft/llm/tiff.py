@@ -28,6 +28,11 @@ SIZES = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
 CLEAR, END = 256, 257
 #: Format of floating point samples.
 FLOAT = 3
+#: How many times its stored bytes a strip or tile can hold at most, by compression: what a header promises beyond that is damage.
+GROWTH = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
+#: A page of more bytes than this, or a tile, isn't read; a column of Arrow's could hold it no more than twice.
+MOST = 1 << 30
+READ = {WIDTH, HEIGHT, BITS, COMPRESSION, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, FILL_ORDER, FORMAT}
 
 
 class TiffError(ValueError):
@@ -164,13 +169,11 @@ def _unpacked(data: bytes, compression: int, size: int) -> bytes:
         out = unpackbits(data, size)
     elif compression == LZW:
         out = unlzw(data)
-    elif compression in (DEFLATE, OLD_DEFLATE):
+    else:
         try:
             out = zlib.decompressobj().decompress(data, size)
         except zlib.error as e:
             raise TiffError(str(e)) from e
-    else:
-        raise TiffError(f"compression {compression}")
     if len(out) < size:
         raise TiffError("a strip or tile is too short")
     return out[:size]
@@ -250,7 +253,7 @@ def _tags(data: bytes, order: str, at: int, n: int) -> dict[int, list[int]]:
     tags: dict[int, list[int]] = {}
     for k in range(n):
         tag, kind, count = struct.unpack_from(f"{order}HHI", data, (place := at + 2 + 12 * k))
-        if kind in SIZES:
+        if kind in SIZES and tag in READ and tag not in tags:
             size, code = SIZES[kind]
             where = place + 8 if size * count <= 4 else struct.unpack_from(f"{order}I", data, place + 8)[0]
             tags[tag] = list(struct.unpack_from(f"{order}{count}{code}", data, where))
@@ -284,16 +287,23 @@ def _page(data: bytes, order: str, tags: dict[int, list[int]]) -> tuple[dict, np
         bw, bh, at, sizes = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0], tags[TILE_OFFSETS], tags[TILE_BYTES]
     else:
         bw, bh, at, sizes = w, min(h, tags.get(ROWS_PER_STRIP, [h])[0]) or 1, tags[STRIP_OFFSETS], tags[STRIP_BYTES]
-    out = np.empty((h, w, samples), kind)
     across = -(-w // bw)
-    blocks = across * -(-h // bh)
-    if len(at) < blocks * planes:
+    blocks, line = across * -(-h // bh), -(-bw * inside * bits // 8)
+    if min(len(at), len(sizes)) < blocks * planes:
         raise TiffError("strips or tiles are missing")
+    if compression not in GROWTH:
+        raise TiffError(f"compression {compression}")
+    if max(h * w * samples * kind.itemsize, bh * line if TILE_OFFSETS in tags else 0) > MOST:
+        raise TiffError(f"a page or tile of more than {MOST} bytes")
+    stored = sum(max(0, min(n, len(data) - k)) for k, n in zip(at[: blocks * planes], sizes, strict=False))
+    if planes * line * (blocks * bh if TILE_OFFSETS in tags else h) > GROWTH[compression] * stored:
+        raise TiffError("a strip or tile is too short")
+    out = np.empty((h, w, samples), kind)
     for k in range(blocks * planes):
         plane, cell = divmod(k, blocks)
         r, c = cell // across * bh, cell % across * bw
         rows = bh if TILE_OFFSETS in tags else min(bh, h - r)
-        stored = _unpacked(data[at[k] : at[k] + sizes[k]], compression, rows * -(-bw * inside * bits // 8))
+        stored = _unpacked(data[at[k] : at[k] + sizes[k]], compression, rows * line)
         block = _samples(stored, rows, bw, inside, bits, order, predictor)
         out[r : r + bh, c : c + bw, plane * inside : (plane + 1) * inside] = block[: h - r, : w - c]
     if floating:
@@ -352,7 +362,7 @@ def tiff_pages(files: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
     A page that can't be read gives a row with error and without pixels, and the next ones are read; a file that can't be followed to its end
     gives a last such row. Samples of less than a byte take a byte each in pixels, planes are joined by sample. Null gives no row, and so does an
-    empty table. Repeated rows give repeated pages. Other columns are neither read nor returned.
+    empty table. A page that its strips or tiles can't hold, or one of more than MOST bytes, can't be read. Repeated rows give repeated pages. Other columns are neither read nor returned.
     """
     return files.select(F.col(id_col).alias("_id"), F.explode(_pages(F.col(media_col))).alias("_page")).select(F.col("_id").alias(id_col), "_page.*")
 
