@@ -8,17 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoweft.llm.license_rules import GATES, RULES
+
 #: What stands between words: ASCII but for letters and digits.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The base: phrase and label.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 
+#: Of rules, the highest first.
+PRIORITIES = (4, 3, 2, 1)
+
+
 @dataclass(frozen=True)
 class Rule:
     """pattern: a regular expression over words with single spaces; keywords: strings that are all in every text it matches."""
@@ -30,130 +35,14 @@ class Rule:
     weight: float
 
 
-#: Families of licenses, written by hand: label, pattern of the name, keyword in every such name.
-FAMILIES = (
-    ("mit", "mit", "mit"),
-    ("mit", "expat", "expat"),
-    ("mit", "x11", "x11"),
-    ("apache-2", "apache(?: software)?(?: license)?(?: version| v)? ?2(?: 0)?", "apache"),
-    ("apache-1", "apache(?: software)?(?: license)?(?: version| v)? ?1(?: [01])?", "apache"),
-    ("bsd-2", "(?:simplified bsd|freebsd|bsd 2 clause)", "bsd"),
-    ("bsd-2", "2 clause bsd", "2 clause bsd"),
-    ("bsd-3", "(?:modified bsd|new bsd|revised bsd|bsd 3 clause)", "bsd"),
-    ("bsd-3", "3 clause bsd", "3 clause bsd"),
-    ("bsd-4", "(?:original bsd|bsd 4 clause|4 clause bsd)", "bsd"),
-    ("bsd", "bsd", "bsd"),
-    ("bsd", "berkeley software distribution", "berkeley"),
-    ("gpl-1", "(?:gnu )?general public license(?: version| v)? ?1(?: 0)?", "general public"),
-    ("gpl-1", "(?:gnu )?gpl(?: version| v)? ?1(?: 0)?", "gpl"),
-    ("gpl-2", "(?:gnu )?general public license(?: version| v)? ?2(?: 0)?", "general public"),
-    ("gpl-2", "(?:gnu )?gpl(?: version| v)? ?2(?: 0)?", "gpl"),
-    ("gpl-3", "(?:gnu )?general public license(?: version| v)? ?3(?: 0)?", "general public"),
-    ("gpl-3", "(?:gnu )?gpl(?: version| v)? ?3(?: 0)?", "gpl"),
-    ("lgpl-2", "(?:gnu )?(?:library|lesser) general public license(?: version| v)? ?2(?: [01])?", "general public"),
-    ("lgpl-2", "(?:gnu )?lgpl(?: version| v)? ?2(?: [01])?", "lgpl"),
-    ("lgpl-3", "(?:gnu )?lesser general public license(?: version| v)? ?3(?: 0)?", "lesser general"),
-    ("lgpl-3", "(?:gnu )?lgpl(?: version| v)? ?3(?: 0)?", "lgpl"),
-    ("agpl-3", "(?:gnu )?affero general public license(?: version| v)? ?3(?: 0)?", "affero"),
-    ("agpl-3", "(?:gnu )?agpl(?: version| v)? ?3(?: 0)?", "agpl"),
-    ("gpl", "(?:gnu )?general public license", "general public"),
-    ("gpl", "(?:gnu )?gpl", "gpl"),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public license", "general public"),
-    ("lgpl", "(?:gnu )?lgpl", "lgpl"),
-    ("agpl", "(?:gnu )?affero general public license", "affero"),
-    ("agpl", "(?:gnu )?agpl", "agpl"),
-    ("fdl", "(?:gnu )?free documentation license", "free documentation"),
-    ("fdl", "(?:gnu )?g?fdl", "fdl"),
-    ("mpl-1", "mozilla public license(?: version| v)? ?1(?: [01])?", "mozilla"),
-    ("mpl-1", "mpl(?: version| v)? ?1(?: [01])?", "mpl"),
-    ("mpl-2", "mozilla public license(?: version| v)? ?2(?: 0)?", "mozilla"),
-    ("mpl-2", "mpl(?: version| v)? ?2(?: 0)?", "mpl"),
-    ("epl-1", "eclipse public license(?: version| v)? ?1(?: 0)?", "eclipse"),
-    ("epl-1", "epl(?: version| v)? ?1(?: 0)?", "epl"),
-    ("epl-2", "eclipse public license(?: version| v)? ?2(?: 0)?", "eclipse"),
-    ("epl-2", "epl(?: version| v)? ?2(?: 0)?", "epl"),
-    ("cddl", "common development and distribution license(?: 1 [01])?", "common development"),
-    ("cddl", "cddl(?: 1 [01])?", "cddl"),
-    ("cpl", "common public license(?: 1 0)?", "common public"),
-    ("eupl", "european union public licen[cs]e(?: v)?(?: ?1 [012])?", "european union"),
-    ("eupl", "eupl(?: v)?(?: ?1 [012])?", "eupl"),
-    ("isc", "isc", "isc"),
-    ("isc", "internet systems consortium", "internet systems"),
-    ("zlib", "zlib(?: libpng)?", "zlib"),
-    ("libpng", "libpng", "libpng"),
-    ("boost", "boost software license(?: 1 0)?", "boost"),
-    ("boost", "bsl 1 0", "bsl 1 0"),
-    ("artistic-1", "artistic license(?: version| v)? ?1(?: 0)?", "artistic"),
-    ("artistic-2", "artistic license(?: version| v)? ?2(?: 0)?", "artistic"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
-    ("wtfpl", "do what the fuck you want to public license", "do what the fuck"),
-    ("cc0", "cc0(?: 1 0)?", "cc0"),
-    ("cc0", "creative commons zero(?: 1 0)?", "creative commons"),
-    ("cc-by-nc-nd", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv(?:ative)?s?)", " n"),
-    ("cc-by-nc-sa", "(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)", " n"),
-    ("cc-by-nc", "cc (?:by|attribution) (?:nc|non ?commercial)", "cc "),
-    ("cc-by-nc", "creative commons (?:by|attribution) (?:nc|non ?commercial)", "creative commons"),
-    ("cc-by-nd", "cc (?:by|attribution) (?:nd|no ?deriv(?:ative)?s?)", "cc "),
-    ("cc-by-nd", "creative commons (?:by|attribution) (?:nd|no ?deriv(?:ative)?s?)", "creative commons"),
-    ("cc-by-sa", "cc (?:by|attribution) (?:sa|share ?alike)", "cc "),
-    ("cc-by-sa", "creative commons (?:by|attribution) (?:sa|share ?alike)", "creative commons"),
-    ("cc-by", "cc (?:by|attribution)", "cc "),
-    ("cc-by", "creative commons (?:by|attribution)", "creative commons"),
-    ("psf", "python software foundation", "python software"),
-    ("psf", "psf", "psf"),
-    ("php", "php", "php"),
-    ("ruby", "ruby", "ruby"),
-    ("openssl", "openssl", "openssl"),
-    ("postgresql", "postgresql", "postgresql"),
-    ("ofl", "(?:sil )?open font license(?: 1 [01])?", "open font"),
-    ("odbl", "open database license", "open database"),
-    ("odbl", "odbl", "odbl"),
-    ("odc-by", "open data commons attribution", "open data commons"),
-    ("ms-pl", "microsoft public license", "microsoft"),
-    ("ms-pl", "ms pl", "ms pl"),
-    ("ms-rl", "microsoft reciprocal license", "microsoft"),
-    ("ms-rl", "ms rl", "ms rl"),
-    ("ncsa", "(?:university of illinois )?ncsa", "ncsa"),
-    ("w3c", "w3c(?: software)?", "w3c"),
-    ("vim", "vim", "vim"),
-    ("bsl", "business source license(?: 1 1)?", "business source"),
-    ("sspl", "server side public license", "server side"),
-    ("sspl", "sspl", "sspl"),
-    ("elastic", "elastic license(?: 2 0)?", "elastic"),
-    ("public-domain", "public domain", "public domain"),
-)
-#: Ways in which texts name a license: pattern around the name, keyword, priority, weight.
-FORMS = (
-    ("spdx license identifier {}", "spdx", 3, 1.0),
-    ("(?:licensed|released|distributed|published|available|provided) under (?:the )?(?:terms of )?(?:the )?{}(?: public)?(?: licen[cs]e)?", " under ", 2, 0.95),
-    ("under (?:the )?terms of (?:the )?{}(?: licen[cs]e)?", " terms of ", 2, 0.9),
-    ("(?:subject to|governed by|covered by) (?:the )?{}(?: licen[cs]e)?", " ", 2, 0.85),
-    ("(?:the )?{} licen[cs]e", "licen", 1, 0.7),
-    ("licen[cs]e (?:is )?{}", "licen", 1, 0.6),
-)
-
-
 def rules() -> list[Rule]:
-    """Every family in every form; then passages of the licenses themselves."""
-    out = [Rule(label, form.format(f"(?:{name})"), tuple(k for k in (key, word) if k.strip()), priority, weight) for (label, name, key), (form, word, priority, weight) in product(FAMILIES, FORMS)]
-    passages = (
-        ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "hereby granted"),
-        ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use"),
-        ("bsd", "redistribution and use in source and binary forms with or without modification", "redistribution and use"),
-        ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "free software"),
-        ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "free software"),
-        ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "source code form"),
-        ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
-        ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "held liable"),
-        ("public-domain", "(?:dedicated|released|placed) (?:to|into|in) the public domain", "public domain"),
-        ("all-rights-reserved", "all rights reserved", "rights reserved"),
-    )
-    return out + [Rule(label, pattern, (key,), 3, 0.9 if label != "all-rights-reserved" else 0.5) for label, pattern, key in passages]
-
-
-#: One of these is in every text that any rule matches; the base has its own test.
-GATES = ("licen", "spdx", " under ", " terms of ", "subject to", "governed by", "covered by", "hereby granted", "permission to use", "redistribution and use", "free software", "unencumbered", "held liable", "public domain", "rights reserved")
+    """The rules of license_rules, in order."""
+    out = []
+    for line in RULES.strip().splitlines():
+        head, _, pattern = line.partition(": ")
+        label, priority, weight, keywords = head.split(" ", 3)
+        out.append(Rule(label, pattern, tuple(keywords.split("+")), int(priority), float(weight)))
+    return out
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -220,13 +109,15 @@ def license_scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     hits = F.flatten(F.transform(ready, lambda r: F.transform(places(F.col("words"), r["pattern"]), lambda p: F.struct(p["start"].alias("start"), (-p["stop"]).alias("back"), (-r["priority"]).alias("rank"), r["label"].alias("label"), r["weight"].alias("weight")))))
     rows = rows.withColumn("hits", F.when(F.col("gated"), F.array_sort(hits)).otherwise(F.array().cast("array<struct<start:int,back:int,rank:int,label:string,weight:double>>")))
     # the furthest stop so far of each priority; a detection is kept unless one of its own or a higher priority reached as far
-    start = F.struct(F.lit(-1).alias("r3"), F.lit(-1).alias("r2"), F.lit(-1).alias("r1"), F.array().cast("array<struct<start:int,stop:int,label:string,weight:double>>").alias("kept"))
+    start = F.struct(*(F.lit(-1).alias(f"r{k}") for k in PRIORITIES), F.array().cast("array<struct<start:int,stop:int,label:string,weight:double>>").alias("kept"))
 
     def step(state: Column, h: Column) -> Column:
         stop = -h["back"]
-        reach = F.when(h["rank"] == -3, state["r3"]).when(h["rank"] == -2, F.greatest(state["r3"], state["r2"])).otherwise(F.greatest(state["r3"], state["r2"], state["r1"]))
+        reach = F.lit(-1)
+        for k in PRIORITIES:
+            reach = F.when(-h["rank"] <= k, F.greatest(reach, state[f"r{k}"])).otherwise(reach)
         kept = F.when(reach >= stop, state["kept"]).otherwise(F.concat(state["kept"], F.array(F.struct(h["start"].alias("start"), stop.alias("stop"), h["label"].alias("label"), h["weight"].alias("weight")))))
-        return F.struct(*(F.when(h["rank"] == -k, F.greatest(state[f"r{k}"], stop)).otherwise(state[f"r{k}"]).alias(f"r{k}") for k in (3, 2, 1)), kept.alias("kept"))
+        return F.struct(*(F.when(h["rank"] == -k, F.greatest(state[f"r{k}"], stop)).otherwise(state[f"r{k}"]).alias(f"r{k}") for k in PRIORITIES), kept.alias("kept"))
 
     rows = rows.withColumn("detections", F.when(F.size("hits") > 0, F.aggregate("hits", start, step, lambda s: s["kept"])).otherwise(F.array().cast("array<struct<start:int,stop:int,label:string,weight:double>>")))
     rows = rows.withColumn("base_set", distinct_labels(F.col("base"), F.array().cast("array<string>")))
