@@ -76,7 +76,11 @@ def plane_normals(z: np.ndarray, focal: float, cu: float, cv: float, reach: int
     return normal * (ok & (n >= 3))[..., None]
 
 
-def gravity(normals: np.ndarray, start: np.ndarray, angles: tuple[float, ...] = (45.0, 15.0), rounds: int = 5) -> np.ndarray:
+#: Fixed values of the published method: angles within which normals count, and rounds at each.
+ANGLES, ROUNDS = (45.0, 15.0), 5
+
+
+def gravity(normals: np.ndarray, start: np.ndarray, angles: tuple[float, ...] = ANGLES, rounds: int = ROUNDS) -> np.ndarray:
     """The direction that floors follow and walls avoid: at each angle, the main axis of normals near the last direction against those across it."""
     n = normals.reshape(-1, 3)
     n = n[(n != 0).any(1)]
@@ -90,6 +94,10 @@ def gravity(normals: np.ndarray, start: np.ndarray, angles: tuple[float, ...] =
     return y
 
 
+#: Fixed values of the published encoding: what disparity is divided from, what the angle is raised by.
+DISPARITY, ANGLE = 31000, 38
+
+
 def hha(z: np.ndarray, focal: float, cu: float, cv: float) -> np.ndarray:
     """Disparity, height above the lowest point, and angle with gravity, as bytes: 31000 / z in centimetres, height in centimetres, angle + 38."""
     normal = plane_normals(z, focal, cu, cv)
@@ -100,7 +108,7 @@ def hha(z: np.ndarray, focal: float, cu: float, cv: float) -> np.ndarray:
     ok = z > 0
     low = np.percentile(height[ok], 1) if ok.any() else 0.0
     angle = np.degrees(np.arccos(np.clip(-(normal @ y), -1, 1)))
-    bands = [np.where(ok, 31000 / np.maximum(z * 100, 1e-9), 0), (height - low) * 100, angle + 38]
+    bands = [np.where(ok, DISPARITY / np.maximum(z * 100, 1e-9), 0), (height - low) * 100, angle + ANGLE]
     return np.clip(np.rint(np.stack(bands, -1)), 0, 255).astype(np.uint8) * ok[..., None]
 
 

@@ -78,8 +78,8 @@ def read_ply(data: bytes) -> tuple[dict[str, np.ndarray], list[tuple[int, ...]],
     return _points(columns), faces, edges
 
 
-def write_ply(points: dict[str, np.ndarray], faces: list[tuple[int, ...]] = (), binary: bool = True) -> bytes:
-    """Positions and normals as doubles, colours as bytes, faces as lists."""
+def write_ply(points: dict[str, np.ndarray], faces: list[tuple[int, ...]] = (), binary: bool = True, edges: list[tuple[int, int]] = ()) -> bytes:
+    """Positions and normals as doubles, colours as bytes, faces as lists, edges as pairs."""
     names = [c for c in POINT if c in points]
     n = len(points["x"])
     types = {c: "uchar" if c in "rgb" else "double" for c in names}
@@ -87,14 +87,16 @@ def write_ply(points: dict[str, np.ndarray], faces: list[tuple[int, ...]] = (),
     head = ["ply", f"format {'binary_little_endian' if binary else 'ascii'} 1.0", f"element vertex {n}", *(f"property {types[c]} {back.get(c, c)}" for c in names)]
     if faces:
         head += [f"element face {len(faces)}", "property list uchar int vertex_indices"]
+    if edges:
+        head += [f"element edge {len(edges)}", "property int vertex1", "property int vertex2"]
     values = {c: np.rint(np.asarray(points[c]) * 255).astype(np.uint8) if c in "rgb" else np.asarray(points[c], np.float64) for c in names}
     if binary:
         rows = np.zeros(n, np.dtype([(c, "<" + PLY_TYPES[types[c]]) for c in names]))
         for c in names:
             rows[c] = values[c]
-        body = rows.tobytes() + b"".join(struct.pack(f"<B{len(f)}i", len(f), *f) for f in faces)
+        body = rows.tobytes() + b"".join(struct.pack(f"<B{len(f)}i", len(f), *f) for f in faces) + b"".join(struct.pack("<2i", *e) for e in edges)
     else:
-        body = "".join([*(" ".join(repr(values[c][k].item()) for c in names) + "\n" for k in range(n)), *(" ".join(map(str, (len(f), *f))) + "\n" for f in faces)]).encode()
+        body = "".join([*(" ".join(repr(values[c][k].item()) for c in names) + "\n" for k in range(n)), *(" ".join(map(str, (len(f), *f))) + "\n" for f in faces), *(" ".join(map(str, e)) + "\n" for e in edges)]).encode()
     return "\n".join([*head, "end_header", ""]).encode() + body
 
 
@@ -178,8 +180,28 @@ def write_pcd(points: dict[str, np.ndarray]) -> bytes:
 LAS_COLOR = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
 
 
-def read_las(data: bytes) -> dict[str, np.ndarray]:
-    """Scaled positions, intensity and, where the point format has them, colours of 16 bits as shares of 1."""
+#: numpy's names of the types of extra dimensions, by their number.
+LAS_EXTRA = {1: "<u1", 2: "<i1", 3: "<u2", 4: "<i2", 5: "<u4", 6: "<i4", 7: "<u8", 8: "<i8", 9: "<f4", 10: "<f8"}
+#: Bytes of the standard fields of each point format.
+LAS_STANDARD = {0: 20, 1: 28, 2: 26, 3: 34, 4: 57, 5: 63, 6: 30, 7: 36, 8: 38, 9: 59, 10: 67}
+LAS_NORMALS = {"normalx": "nx", "normaly": "ny", "normalz": "nz", "nx": "nx", "ny": "ny", "nz": "nz"}
+
+
+def las_extra(data: bytes) -> list[tuple[str, str]]:
+    """(name, numpy type) of the extra dimensions that a LAS header lists, in the order of their bytes."""
+    at, out = struct.unpack_from("<H", data, 94)[0], []
+    for _ in range(struct.unpack_from("<I", data, 100)[0]):
+        user, record, n = data[at + 2 : at + 18].split(b"\0")[0], *struct.unpack_from("<HH", data, at + 18)
+        if user == b"LASF_Spec" and record == 4:
+            for k in range(at + 54, at + 54 + n - 191, 192):
+                kind, size = data[k + 2], data[k + 3]
+                out.append((data[k + 4 : k + 36].split(b"\0")[0].decode("latin-1"), LAS_EXTRA.get(kind, f"V{size}")))
+        at += 54 + n
+    return out
+
+
+def read_las(data: bytes, extra: bool = False) -> dict[str, np.ndarray]:
+    """Scaled positions, intensity and, where the point format has them, colours of 16 bits as shares of 1; extra dimensions that are normals, and with extra all others by name."""
     if data[:4] != b"LASF":
         raise ValueError("no LAS header")
     offset, kind, length, n = struct.unpack_from("<I", data, 96)[0], data[104] & 63, *struct.unpack_from("<HI", data, 105)
@@ -189,19 +211,35 @@ def read_las(data: bytes) -> dict[str, np.ndarray]:
     names, formats, offsets = ["p", "intensity"], ["<3i4", "<u2"], [0, 12]
     if kind in LAS_COLOR:
         names, formats, offsets = [*names, "c"], [*formats, "<3u2"], [*offsets, LAS_COLOR[kind]]
+    place = LAS_STANDARD.get(kind, length)
+    own = []
+    for name, form in las_extra(data):
+        known = LAS_NORMALS.get(name.lower().replace("_", "").replace(" ", ""))
+        if place + np.dtype(form).itemsize <= length and form[0] != "V" and (known or extra):
+            own.append(known or name)
+            names, formats, offsets = [*names, f"+{own[-1]}"], [*formats, form], [*offsets, place]
+        place += np.dtype(form).itemsize
     rows = np.frombuffer(data, np.dtype({"names": names, "formats": formats, "offsets": offsets, "itemsize": length}), n, offset)
     out = {c: rows["p"][:, k] * scale[k] + shift[k] for k, c in enumerate("xyz")} | {"intensity": rows["intensity"].astype(float)}
     if "c" in names:
         out |= {c: (rows["c"][:, k] >> 8) / 255 for k, c in enumerate("rgb")}
-    return out
+    return out | {c: rows[f"+{c}"].astype(float) for c in own}
 
 
-def write_las(points: dict[str, np.ndarray], scale: float = 0.001) -> bytes:
-    """LAS 1.2, point format 2."""
+def write_las(points: dict[str, np.ndarray], scale: float = 0.001, extra: tuple[str, ...] = ()) -> bytes:
+    """LAS 1.2, point format 2; extra columns, and normals if there are such, as extra dimensions of doubles."""
+    extra = (*(c for c in ("nx", "ny", "nz") if c in points), *extra)
     n = len(points["x"])
     p = np.stack([np.asarray(points[c], float) for c in "xyz"], 1)
     low, high = (p.min(0), p.max(0)) if n else (np.zeros(3), np.zeros(3))
-    rows = np.zeros(n, np.dtype({"names": ["p", "intensity", "returns", "c"], "formats": ["<3i4", "<u2", "u1", "<3u2"], "offsets": [0, 12, 14, 20], "itemsize": 26}))
+    length, listed = 26 + 8 * len(extra), b""
+    names = ["p", "intensity", "returns", "c", *(f"+{c}" for c in extra)]
+    rows = np.zeros(n, np.dtype({"names": names, "formats": ["<3i4", "<u2", "u1", "<3u2", *["<f8"] * len(extra)], "offsets": [0, 12, 14, 20, *range(26, length, 8)], "itemsize": length}))
+    for c in extra:
+        rows[f"+{c}"] = np.asarray(points[c], float)
+        listed += struct.pack("<2xBB32s4x", 10, 0, c.encode()[:31]).ljust(192, b"\0")
+    if extra:
+        listed = struct.pack("<2x16sHH32s", b"LASF_Spec", 4, len(listed), b"extra dimensions") + listed
     rows["p"] = np.rint((p - low) / scale)
     rows["returns"] = 9
     if "intensity" in points:
@@ -211,31 +249,44 @@ def write_las(points: dict[str, np.ndarray], scale: float = 0.001) -> bytes:
     head = bytearray(227)
     head[:4] = b"LASF"
     head[24:26] = b"\x01\x02"
-    struct.pack_into("<HIIBHI", head, 94, 227, 227, 0, 2, 26, n)
+    struct.pack_into("<HIIBHI", head, 94, 227, 227 + len(listed), bool(listed), 2, length, n)
     struct.pack_into("<I", head, 111, n)
     struct.pack_into("<12d", head, 131, scale, scale, scale, *low, *(v for k in range(3) for v in (high[k], low[k])))
-    return bytes(head) + rows.tobytes()
+    return bytes(head) + listed + rows.tobytes()
 
 
 ENTITIES = ("LINE", "LWPOLYLINE", "POLYLINE", "CIRCLE", "ARC", "ELLIPSE", "POINT", "SPLINE", "INSERT", "TEXT", "MTEXT", "3DFACE", "SOLID")
+#: Group codes of a point's x, and those of scales (of an ellipse: its first and last parameter).
+POINT_CODES, SCALE_CODES = (10, 11, 12, 13), {41: 0, 42: 1, 43: 2}
+
+
+def _entity(seq: int, dtype: str, owner: str | None) -> dict:
+    return {"seq": seq, "dtype": dtype, "owner": owner, "layer": None, "handle": None, "color": None, "text": None, "block": None, "radius": None, "start": None, "end": None, "closed": False, "points": [], "elevation": None, "scale": [None, None, None], "extrusion": [0.0, 0.0, 1.0]}
 
 
 def read_dxf(data: bytes) -> list[dict]:
-    """Entities of a text DXF in order: seq, dtype, layer, handle, color, text, radius, start and end angle, closed, points."""
+    """Entities of a text DXF in order: seq, dtype, layer, handle, color, text, radius, start and end angle, closed, points, scale, extrusion, block (that an insert names), and owner.
+
+    owner is null in model space; else the entity is part of the block of that name, whose own row has dtype BLOCK and its base point. Layers' rows have dtype LAYER, their colour and name.
+    """
     lines = data.decode("utf-8", "replace").splitlines()
     pairs = [(int(a), b.strip()) for a, b in zip(lines[::2], lines[1::2], strict=False) if a.strip().lstrip("-").isdigit()]
-    out, section, now, parent = [], "", None, None
+    out: list[dict] = []
+    section, owner, now, parent = "", None, None, None
     for k, (code, value) in enumerate(pairs):
         if code == 0:
             now = None
             if value == "SECTION":
                 section = pairs[k + 1][1] if k + 1 < len(pairs) else ""
-            elif value == "ENDSEC":
-                section = ""
-            elif section == "ENTITIES" and value in ENTITIES:
-                now = parent = {"seq": len(out), "dtype": value, "layer": None, "handle": None, "color": None, "text": None, "radius": None, "start": None, "end": None, "closed": False, "points": []}
+            elif value in ("ENDSEC", "ENDBLK"):
+                section, owner = section if value == "ENDBLK" else "", None
+            elif section == "BLOCKS" and value == "BLOCK" or section == "TABLES" and value == "LAYER":
+                now = parent = _entity(len(out), value, None)
+                out.append(now)
+            elif section in ("ENTITIES", "BLOCKS") and value in ENTITIES:
+                now = parent = _entity(len(out), value, owner if section == "BLOCKS" else None)
                 out.append(now)
-            elif section == "ENTITIES" and value in ("VERTEX", "ATTRIB") and parent is not None:
+            elif section in ("ENTITIES", "BLOCKS") and value in ("VERTEX", "ATTRIB") and parent is not None:
                 now = {"points": parent["points"]} if value == "VERTEX" else {"points": [], "into": parent}
             continue
         if now is None:
@@ -249,16 +300,26 @@ def read_dxf(data: bytes) -> list[dict]:
             now["color"] = int(value)
         elif code == 1:
             (now.get("into") or now)["text"] = value
-        elif code in (10, 11, 12, 13) and "into" not in now:
-            now["points"].append([float(value), 0.0, 0.0])
-        elif code in (20, 21, 22, 23) and now["points"] and "into" not in now:
+        elif code == 2 and "block" in now and now["block"] is None:
+            now["block"] = value
+            if now["dtype"] == "BLOCK":
+                owner = value
+        elif code in POINT_CODES and "into" not in now:
+            now["points"].append([float(value), 0.0, now.get("elevation") or 0.0])
+        elif code - 10 in POINT_CODES and now["points"] and "into" not in now:
             now["points"][-1][1] = float(value)
-        elif code in (30, 31, 32, 33) and now["points"] and "into" not in now:
+        elif code - 20 in POINT_CODES and now["points"] and "into" not in now:
             now["points"][-1][2] = float(value)
+        elif code == 38 and "elevation" in now:
+            now["elevation"] = float(value)
         elif code == 40 and "radius" in now:
             now["radius"] = now["radius"] if now["radius"] is not None else float(value)
+        elif code in SCALE_CODES and "scale" in now and now["dtype"] in ("INSERT", "ELLIPSE"):
+            now["scale"][SCALE_CODES[code]] = float(value)
         elif code in (50, 51) and "start" in now:
             now["start" if code == 50 else "end"] = float(value)
+        elif code in (210, 220, 230) and "extrusion" in now:
+            now["extrusion"][code // 10 - 21] = float(value)
         elif code == 70 and "closed" in now:
             now["closed"] = bool(int(value) & 1)
     return out
