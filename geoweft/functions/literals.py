@@ -204,23 +204,73 @@ def bucket_color(bucket: Column, buckets: int) -> Column:
     t = bucket / max(1, buckets - 1)
     return vec(t, 1 - t, 0)
 
-# Colours 0 to 9 and 250 to 255 of the drawing colour index, and the five levels of brightness between.
+# Fixed values of the drawing colour index: colours 0 to 9 and 250 to 255, and for the ten last digits of the others the five levels of a channel, from none to full.
 ACI_FIRST = ((0, 0, 0), (255, 0, 0), (255, 255, 0), (0, 255, 0), (0, 255, 255), (0, 0, 255), (255, 0, 255), (255, 255, 255), (65, 65, 65), (128, 128, 128))
-ACI_GREY, ACI_LEVELS = (51, 80, 105, 130, 190, 255), (255, 189, 129, 104, 79)
+ACI_GREY = (51, 80, 105, 130, 190, 255)
+ACI_LEVELS = (
+    (0, 63, 127, 191, 255),
+    (170, 191, 212, 234, 255),
+    (0, 46, 94, 141, 189),
+    (126, 141, 157, 173, 189),
+    (0, 31, 64, 96, 129),
+    (86, 96, 107, 118, 129),
+    (0, 25, 52, 78, 104),
+    (69, 78, 86, 95, 104),
+    (0, 19, 39, 59, 79),
+    (53, 59, 66, 73, 79),
+)
 
 
 def aci_rgb(index: Column) -> Column:
-    """(r, g, b) from 0 to 255 of a colour index: 24 hues of 15 degrees in five levels, odd ones paler by two thirds of white. Null beyond 0 to 255."""
-    step = F.floor(index / 10) - 1
-    level = F.get(F.array(*map(F.lit, ACI_LEVELS)), F.floor((index % 10) / 2).cast("int")).cast("double")
-    low = F.when(index % 2 == 1, level * 2 / 3).otherwise(0.0)
+    """(r, g, b) from 0 to 255 of a colour index: 24 hues of 15 degrees by the tens, brightness and paleness by the last digit. Null beyond 0 to 255."""
+    step = F.floor(index / 10).cast("int") - 1
+    levels = F.array(*(vec(*row) for row in ACI_LEVELS))
 
     def channel(turn: int) -> Column:
-        # a hue's share of one colour: full near its own third of the circle, none on the far side, in quarters between
+        # full near its own third of the circle, none on the far side, in quarters between
         away = F.abs((step + turn) % 24 - 12)
-        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (away - 4) / 4))
-        return F.round(low + (level - low) * share)
+        quarter = F.greatest(F.lit(0), F.least(F.lit(4), away - 4)).cast("int")
+        return F.get(F.get(levels, (index % 10).cast("int")), quarter)
 
     hue = F.array(channel(0), channel(16), channel(8))
     table = lambda rows, at: F.get(F.array(*(vec(*r) for r in rows)), at.cast("int"))
     return F.when(index < 0, None).when(index < 10, table(ACI_FIRST, index)).when(index < 250, hue).when(index <= 255, table([(g, g, g) for g in ACI_GREY], index - 250))
+
+
+def random_rgb(key: Column, seed: int = 0, most: int = 1) -> Column:
+    """A colour for a key, the same each time: three numbers from 0 to 1, or whole ones up to most."""
+    part = [F.pmod(F.xxhash64(key, F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30) for k in range(3)]
+    return vec(*(x if most == 1 else F.floor(x * (most + 1)) for x in part))
+
+
+# paths and values
+
+
+def relative_path(path: Column, folder: Column) -> Column:
+    """A path as seen from a folder: .. for every step up to what both share, then the way down; paths of another root stay."""
+    a = F.filter(F.split(F.regexp_replace(path, r"\\\\", "/"), "/"), lambda x: ~x.isin("", "."))
+    b = F.filter(F.split(F.regexp_replace(folder, r"\\\\", "/"), "/"), lambda x: ~x.isin("", "."))
+    apart = F.filter(F.sequence(F.lit(0), F.least(F.size(a), F.size(b))), lambda k: ~F.get(a, k).eqNullSafe(F.get(b, k)) | F.get(a, k).isNull())
+    shared = F.get(apart, F.lit(0))
+    way = F.concat(F.array_repeat(F.lit(".."), F.size(b) - shared), F.slice(a, shared + 1, F.greatest(F.size(a) - shared, F.lit(0))))
+    same_root = F.startswith(path, F.lit("/")) == F.startswith(folder, F.lit("/"))
+    return F.when(same_root & (F.size(F.array_intersect(F.slice(a, 1, 1), F.slice(b, 1, 1))) + F.startswith(path, F.lit("/")).cast("int") > 0), F.when(F.size(way) == 0, ".").otherwise(F.array_join(way, "/"))).otherwise(path)
+
+
+def xml_number(text: Column) -> Column:
+    """The number that an element holds; null for none."""
+    return F.trim(text).try_cast("double")
+
+
+def as_list(x: Column, kind: str) -> Column:
+    """A value as an array: scalars alone, nested arrays flat; null is an empty array."""
+    if kind.startswith("array<array<"):
+        return F.coalesce(F.flatten(x), F.array().cast(kind.removeprefix("array<").removesuffix(">")))
+    if kind.startswith("array<"):
+        return F.coalesce(x, F.array().cast(kind))
+    return F.when(x.isNull(), F.array().cast(f"array<{kind}>")).otherwise(F.array(x))
+
+
+def in_any(subject: Column, uris: Column) -> Column:
+    """Whether a subject stands in one of an array of URIs."""
+    return F.exists(uris, lambda u: F.contains(u, subject))

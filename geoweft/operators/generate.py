@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoweft.functions import geometry as G
 from geoweft.functions import linalg as L
 
 
@@ -75,3 +76,46 @@ def tiles(images: DataFrame, width: int, height: int, include_last: bool = True)
     rows = images.where((count("image_width", width) >= 1) & (count("image_height", height) >= 1))
     rows = rows.withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), count("image_height", height) - 1))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), count("image_width", width) - 1)))
     return rows.withColumns({"x0": F.col("col") * width, "y0": F.col("row") * height, "x1": F.least((F.col("col") + 1) * width, F.col("image_width")), "y1": F.least((F.col("row") + 1) * height, F.col("image_height"))})
+
+
+#: The 12 triangles of a box, by the numbers of its corners as geometry.obb_corners has them, turned outwards.
+BOX = ((0, 2, 1), (1, 2, 3), (4, 5, 6), (5, 7, 6), (0, 1, 4), (1, 5, 4), (2, 6, 3), (3, 6, 7), (0, 4, 2), (2, 4, 6), (1, 3, 5), (3, 7, 5))
+
+
+def box_triangles(boxes: DataFrame) -> DataFrame:
+    """Boxes (subject, box as 9 numbers) as meshes: subject, fid, ax .. cz."""
+    rows = boxes.withColumn("_c", G.obb_corners(F.col("box")))
+    faces = F.array(*(F.struct(F.lit(k).cast("long").alias("fid"), *(F.lit(x).alias(v) for v, x in zip("abc", t, strict=True))) for k, t in enumerate(BOX)))
+    rows = rows.select("subject", "_c", F.explode(faces).alias("f"))
+    return rows.select("subject", "f.fid", *(F.get(F.get(F.col("_c"), F.col(f"f.{v}")), F.lit(n)).alias(f"{v}{c}") for v in "abc" for n, c in enumerate("xyz")))
+
+
+def joined_meshes(vertices: DataFrame, faces: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """The meshes of each group (column by) as one: vertices (subject, pid, ..) and faces (subject, fid, a, b, c) with numbers that go on from mesh to mesh, by subject; their subject is the group's."""
+    w = Window.partitionBy(by).orderBy("subject").rowsBetween(Window.unboundedPreceding, -1)
+
+    def starts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(by, "subject").agg((F.max(name) + 1).alias("_n")).select(by, "subject", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(f"_{name}"))
+
+    pids, fids = starts(vertices, "pid"), starts(faces, "fid")
+    v = vertices.join(pids, [by, "subject"]).withColumn("pid", F.col("pid") + F.col("_pid")).drop("_pid", "subject").withColumnRenamed(by, "subject")
+    f = faces.join(pids, [by, "subject"]).join(fids, [by, "subject"]).withColumns({"fid": F.col("fid") + F.col("_fid")} | {c: F.col(c) + F.col("_pid") for c in "abc"}).drop("_pid", "_fid", "subject").withColumnRenamed(by, "subject")
+    return v, f
+
+
+def identity_points(triangles: DataFrame, resolution: float, seed: int = 0) -> DataFrame:
+    """One point for each voxel of the resolution's size that a subject's surface crosses, with the subject: samples, four for a voxel's side, of which the first of each voxel stays."""
+    samples = sample_triangles(triangles, 4 / (resolution * resolution), seed).select("subject", "fid", "s", "x", "y", "z")
+    cell = [F.floor(F.col(c) / resolution).alias(f"_{c}") for c in "xyz"]
+    first = samples.groupBy("subject", *cell).agg(F.min(F.struct("fid", "s", "x", "y", "z")).alias("m"))
+    return first.select("subject", "m.x", "m.y", "m.z")
+
+
+def as_points(value: Column) -> Column:
+    """An array of points of bounds (6 numbers) or of an oriented box (9): their corners."""
+    return F.when(F.size(value) == 6, G.aabb_corners(value)).when(F.size(value) == 9, G.obb_corners(value))
+
+
+def homogeneous(p: Column) -> Column:
+    """Points of 3 numbers with a 1, points of 4 divided by their last."""
+    return F.when(F.size(p) == 3, F.concat(p, F.array(F.lit(1.0)))).when(F.size(p) == 4, F.transform(p, lambda x: x / F.nullif(F.get(p, F.lit(3)), F.lit(0.0))))

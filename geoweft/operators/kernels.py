@@ -5,11 +5,14 @@ A subject's vertices are first reduced to the extreme points of each of many dir
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoweft.functions import linalg as L
 from geoweft.operators.joins import within_distance
 
 
@@ -114,8 +117,25 @@ def extremes(points: DataFrame, by: str = "subject") -> DataFrame:
     return best.select(by, F.explode(F.array_distinct("best")).alias("p")).select(by, "p.*")
 
 
+def _outermost(batches: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
+    """Of each batch and subject the corners of its hull; few or flat points as they are."""
+    for b in batches:
+        for _, own in b.groupby(by, sort=False, dropna=False):
+            if len(own) > 64:
+                p = own[["x", "y", "z"]].to_numpy(float)
+                try:
+                    own = own.iloc[np.unique(hull(p)[0])]
+                except ValueError:
+                    p = own.drop_duplicates(["x", "y", "z"])
+                    own = p
+            yield own
+
+
 def hulls(points: DataFrame, by: str = "subject") -> DataFrame:
-    """The hull of each subject: vertices, planes (nx, ny, nz, d), volume. Flat subjects are padded."""
+    """The hull of each subject: vertices, planes (nx, ny, nz, d), volume. Flat subjects are padded.
+
+    Every batch of points first leaves the corners of its own hull only; the hull of these is that of all, so a large subject comes to one task as few points.
+    """
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         p = pdf[["x", "y", "z"]].to_numpy(float)
@@ -129,17 +149,39 @@ def hulls(points: DataFrame, by: str = "subject") -> DataFrame:
         return pd.DataFrame({by: [pdf[by].iloc[0]], "vertices": [p[np.unique(faces)].tolist()], "planes": [planes.tolist()], "volume": [float(volume)]})
 
     kind = points.schema[by].dataType.simpleString()
-    return points.select(by, "x", "y", "z").groupBy(by).applyInPandas(build, f"{by} {kind}, vertices array<array<double>>, planes array<array<double>>, volume double")
+    few = points.select(by, "x", "y", "z").mapInPandas(lambda batches: _outermost(batches, by), f"{by} {kind}, x double, y double, z double")
+    return few.groupBy(by).applyInPandas(build, f"{by} {kind}, vertices array<array<double>>, planes array<array<double>>, volume double")
 
 
 def oriented_boxes(points: DataFrame, by: str = "subject") -> DataFrame:
-    """The oriented box of each subject, as 9 numbers."""
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "box": [oriented_box(pdf[["x", "y", "z"]].to_numpy(float)).tolist()]})
+    """The oriented box of each subject, as 9 numbers: (centre, extent, Euler xyz in degrees) along the principal axes, as oriented_box has it.
 
+    Means and covariances are aggregates; the axes of each subject's 3x3 join its points, whose extent along them is another aggregate. No subject comes to one task.
+    """
+    second = ("xx", "xy", "xz", "yy", "yz", "zz")
     kind = points.schema[by].dataType.simpleString()
-    return points.select(by, "x", "y", "z").groupBy(by).applyInPandas(build, f"{by} {kind}, box array<double>")
+    sums = points.groupBy(by).agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"), *(F.covar_pop(a, b).alias(a + b) for a, b in second))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            axes = []
+            for row in b[list(second)].to_numpy(float):
+                xx, xy, xz, yy, yz, zz = row
+                v = np.linalg.eigh(np.array([[xx, xy, xz], [xy, yy, yz], [xz, yz, zz]]))[1][:, ::-1].T
+                for k in range(2):
+                    if v[k][np.argmax(np.abs(v[k]))] < 0:
+                        v[k] = -v[k]
+                v[2] = np.cross(v[0], v[1])
+                axes.append(v.ravel().tolist())
+            yield b[[by, "mx", "my", "mz"]].assign(axes=axes)
+
+    frames = sums.mapInPandas(solve, f"{by} {kind}, mx double, my double, mz double, axes array<double>")
+    along = [sum((F.col(c) - F.col(f"m{c}")) * F.col("axes")[3 * k + n] for n, c in enumerate("xyz")) for k in range(3)]
+    spans = points.select(by, "x", "y", "z").join(frames, by).groupBy(by).agg(F.first("axes").alias("a"), F.first(F.array("mx", "my", "mz")).alias("m"), *(f(along[k]).alias(f"{n}{k}") for k in range(3) for n, f in (("lo", F.min), ("hi", F.max))))
+    a, half = F.col("a"), [(F.col(f"lo{k}") + F.col(f"hi{k}")) / 2 for k in range(3)]
+    centre = [F.col("m")[n] + sum(half[k] * a[3 * k + n] for k in range(3)) for n in range(3)]
+    rotation = [a[3 * c + r] for r in range(3) for c in range(3)]
+    return spans.select(by, F.concat(L.vec(*centre, *(F.col(f"hi{k}") - F.col(f"lo{k}") for k in range(3))), L.euler_from_rotation(rotation)).alias("box"))
 
 
 def normals(points: DataFrame, radius: float, key: str = "id") -> DataFrame:

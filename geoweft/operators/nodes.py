@@ -111,9 +111,11 @@ def scaled(values: DataFrame, column: str, by: Sequence[str], out: str) -> DataF
 
 
 def numbered_values(rows: DataFrame, column: str, out: str = "number") -> DataFrame:
-    """Rows with the number (from 0) of their value among the different values in order, as for one colour each. The order is found over the values alone."""
-    values = rows.select(column).distinct().withColumn(out, F.row_number().over(Window.orderBy(column)) - 1)
-    return rows.join(values, column)
+    """Rows with the number (from 0) of their value among the different values in order, as for one colour each. The order is found over the values alone, by ranges."""
+    from geoweft.operators.space import ranked
+
+    values, _ = ranked(rows.select(column).distinct(), [column])
+    return rows.join(values.select(column, F.col("number").cast("int").alias(out)), column)
 
 
 def best_matches(pairs: DataFrame, by: str, error: str, k: int, key: str) -> DataFrame:

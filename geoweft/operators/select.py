@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,10 +67,22 @@ def overlapping_boxes(boxes: DataFrame, others: DataFrame, cell: float, key: str
 def thin_by_overlap(images: DataFrame, by: str, order: str, ground: float, overlap: float, fov: float = 94.0) -> DataFrame:
     """Images kept when each must be farther from the last kept one, in the xy plane, than the overlap allows.
 
-    The overlap is a share of the mean width that the images of a group see at the ground. The choice of each image depends on the one before, so a group is
-    folded in order as one array; groups are independent.
+    The overlap is a share of the mean width that the images of a group see at the ground. The choice of each image depends on the one before, so a group passes, in order, through one
+    task, which holds the last kept image alone; groups are independent.
     """
-    rows = images.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "x", "y"))).alias("r"), (F.avg(F.col("z") - ground) * 2 * F.tan(F.radians(F.lit(fov / 2))) * overlap).alias("d"))
-    far = lambda a, b, d: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"])) > d
-    kept = F.aggregate(F.slice("r", 2, F.size("r")), F.slice("r", 1, 1), lambda s, x: F.when(far(F.element_at(s, -1), x, F.col("d")), F.concat(s, F.array(x))).otherwise(s))
-    return rows.select(by, F.explode(kept).alias("k")).select(by, F.col("k.o").alias(order))
+    wide = (F.avg(F.col("z") - ground) * 2 * F.tan(F.radians(F.lit(fov / 2))) * overlap).alias("_least")
+    rows = images.select(by, order, "x", "y").join(images.groupBy(by).agg(wide), by)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, x, y = None, 0.0, 0.0
+        for b in batches:
+            kept = []
+            for g, u, v, least in zip(b[by], b["x"], b["y"], b["_least"], strict=True):
+                keep = g != group or math.hypot(u - x, v - y) > least
+                if keep:
+                    group, x, y = g, u, v
+                kept.append(keep)
+            yield b.loc[kept, [by, order]]
+
+    kinds = dict(images.dtypes)
+    return rows.repartition(by).sortWithinPartitions(by, order, "x", "y").mapInPandas(walk, f"{by} {kinds[by]}, {order} {kinds[order]}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -106,15 +107,42 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def dbscan(points: DataFrame, eps: float, min_points: int, key: str = "id") -> DataFrame:
-    """Points in clusters: key, cluster (the smallest key of its core points), core. Noise is left out; a border point joins the smallest cluster in reach."""
-    pairs = within_distance(points.select(key, "x", "y", "z"), points.select(key, "x", "y", "z"), eps).select(F.col(f"q.{key}").alias("u"), F.col(f"r.{key}").alias("v"))
-    pairs = table(pairs)
-    core = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).select(F.col("u").alias("c"))
-    reach = pairs.join(core, F.col("u") == F.col("c"), "left_semi")
-    edges = table(reach.join(core, F.col("v") == F.col("c"), "left_semi"))
-    roots = components(edges)
-    inside = roots.select(F.col("node").alias(key), F.col("root").alias("cluster"), F.lit(True).alias("core"))
-    border = pairs.join(roots, F.col("v") == F.col("node")).join(core, F.col("u") == F.col("c"), "left_anti").groupBy(F.col("u").alias(key)).agg(F.min("root").alias("cluster"))
+    """Points in clusters: key, cluster (the smallest key of its core points), core. Noise is left out; a border point joins the smallest cluster in reach.
+
+    All points of a cell of side eps / sqrt(3) are in reach of each other. So cells with min_points or more are core without a look at any pair; only the others' points count their
+    neighbours. Cells that hold core points are the nodes: neighbouring ones are linked where some of six outermost points of each are in reach. What that leaves apart is decided by
+    all their core points, so no pair within a cluster that already hangs together is written.
+    """
+    side = eps / math.sqrt(3) * (1 - 1e-9)
+    placed = with_voxel(points.select(F.col(key).alias("id"), "x", "y", "z"), side)
+    counts = placed.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
+    placed = table(placed.join(counts, list(CELL)))
+    sparse = placed.where(F.col("n") < min_points)
+    pairs = table(within_distance(sparse.select("id", "x", "y", "z"), placed.select("id", "x", "y", "z"), eps).select(F.col("q.id").alias("u"), F.col("r.id").alias("v")))
+    enough = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= min_points).select(F.col("u").alias("id"))
+    core = table(placed.where(F.col("n") >= min_points).unionByName(sparse.join(enough, "id", "left_semi")).select("id", "x", "y", "z", *CELL))
+    at = F.struct("x", "y", "z")
+    outer = F.array_distinct(F.array(*(f(at, c) for c in "xyz" for f in (F.min_by, F.max_by))))
+    cells = table(core.groupBy(*CELL).agg(F.min("id").alias("node"), outer.alias("outer"), *(f(c).alias(f"{c}{n}") for c in "xyz" for n, f in (("0", F.min), ("1", F.max)))))
+    near = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    steps = F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for v, n in zip(s, CELL, strict=True))) for s in near))
+    a = cells.select(F.struct("*").alias("a"), F.explode(steps).alias("s")).select("a", *((F.col(f"a.{n}") + F.col(f"s.{n}")).alias(n) for n in CELL))
+    met = a.join(cells.select(F.struct("*").alias("b"), *CELL), list(CELL))
+    gap = [F.greatest(F.lit(0.0), F.col(f"a.{c}0") - F.col(f"b.{c}1"), F.col(f"b.{c}0") - F.col(f"a.{c}1")) for c in "xyz"]
+    square = lambda p, q: (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"]) + (p["z"] - q["z"]) * (p["z"] - q["z"])
+    sure = F.exists(F.col("a.outer"), lambda p: F.exists(F.col("b.outer"), lambda q: square(p, q) <= eps * eps))
+    beside = table(met.where(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= eps * eps).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), sure.alias("sure")))
+    both = lambda e: e.select("u", "v").union(e.select("v", "u")).toDF("u", "v")
+    linked = beside.where("sure").select("u", "v")
+    groups = components(both(linked))
+    root = lambda name: groups.select(F.col("node").alias(name), F.col("root").alias(f"_{name}"))
+    apart = beside.where("NOT sure").join(root("u"), "u", "left").join(root("v"), "v", "left").where(~F.coalesce("_u", "u").eqNullSafe(F.coalesce("_v", "v"))).select("u", "v")
+    own = core.join(cells.select(*CELL, "node"), list(CELL)).select("id", "node", at.alias("p"))
+    touching = apart.join(own.select(F.col("node").alias("u"), F.col("p").alias("p")), "u").join(own.select(F.col("node").alias("v"), F.col("p").alias("q")), "v").where(square(F.col("p"), F.col("q")) <= eps * eps).select("u", "v").distinct()
+    roots = components(both(table(linked.union(touching))))
+    inside = own.join(roots, "node", "left").select(F.col("id").alias(key), F.coalesce("root", "node").alias("cluster"), F.lit(True).alias("core"))
+    inside = table(inside)
+    border = pairs.join(inside.select(F.col(key).alias("v"), "cluster"), "v").join(inside.select(F.col(key).alias("u")), "u", "left_anti").groupBy(F.col("u").alias(key)).agg(F.min("cluster").alias("cluster"))
     return inside.unionByName(border.withColumn("core", F.lit(False)))
 
 

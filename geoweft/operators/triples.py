@@ -22,6 +22,13 @@ def to_triples(nodes: DataFrame, predicates: dict[str, str], subject: str = "sub
     return rows.select("subject", "p.predicate", F.explode("p.objects").alias("object"), "p.datatype").where("object IS NOT NULL")
 
 
+def with_members(own: DataFrame, members: DataFrame, part: str = "hasPart", inner: DataFrame | None = None) -> DataFrame:
+    """Triples of sets with a triple for each of their members (parent, child), and the members' own triples (inner) if they are to be written too."""
+    links = members.select(F.col("parent").alias("subject"), F.lit(part).alias("predicate"), F.col("child").alias("object"))
+    out = own.select(*SPO).union(links)
+    return out if inner is None else out.union(inner.select(*SPO).join(members.select(F.col("child").alias("subject")).distinct(), "subject", "left_semi")).distinct()
+
+
 def xsd(kind: str) -> str:
     inner = kind.removeprefix("array<").removesuffix(">")
     return {"int": "integer", "bigint": "integer", "double": "float", "float": "float", "timestamp": "dateTime", "boolean": "boolean"}.get(inner, "string")

@@ -99,17 +99,9 @@ def nn_normal_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("id", "m.ref", r6(-F.col("m.f")).alias("facing"))
 
 
-@query(f"WITH {POINTS} SELECT q.id, arg_min(r.label, ({D2}, r.id)) AS label FROM p q, p r WHERE q.label IN (1, 2) AND r.label > 2 GROUP BY q.id")
-def label_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
-    r = p.where("label > 2")
-    nn = joins.nearest_join(p.where("label IN (1, 2)").select("id", "x", "y", "z"), r, 0.05)
-    return nn.join(r.select(F.col("id").alias("ref"), "label"), "ref").select("id", "label")
-
-
 @query(f"WITH {POINTS} SELECT q.id, arg_min(r.label, ({D2}, r.id)) AS label FROM p q, p r WHERE q.label <= 2 AND r.label > 2 GROUP BY q.id")
 def label_transfer_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels for all points that aren't references; label_transfer has those of its SQL's labels."""
+    """Labels for all points that aren't references."""
     p = points(spark, sf_dir)
     r = p.where("label > 2")
     nn = joins.nearest_join(p.where("label <= 2").select("id", "x", "y", "z"), r, 0.05)
@@ -237,18 +229,9 @@ def divide_per_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.by_height(points(spark, sf_dir), (-0.1, 0.0, 0.1)).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH RECURSIVE {POINTS}, s AS (SELECT * FROM p WHERE label < 3), e AS (SELECT q.id AS u, r.id AS v FROM s q, s r WHERE {D2} <= 0.05::DOUBLE * 0.05),
-c AS (SELECT u AS id FROM e GROUP BY u HAVING count(*) >= 4), ce AS (SELECT u, v FROM e WHERE u IN (SELECT id FROM c) AND v IN (SELECT id FROM c)),
-reach(id, root) AS (SELECT id, id FROM c UNION SELECT ce.v, reach.root FROM reach JOIN ce ON ce.u = reach.id WHERE reach.root < ce.v),
-lab AS (SELECT id, min(root) AS cluster FROM reach GROUP BY id)
-SELECT id, cluster, TRUE AS core FROM lab UNION ALL SELECT e.u, min(lab.cluster), FALSE FROM e JOIN lab ON e.v = lab.id WHERE e.u NOT IN (SELECT id FROM c) GROUP BY e.u""")
-def dbscan_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return space.dbscan(points(spark, sf_dir).where("label < 3"), 0.05, 4)
-
-
 @query()
 def dbscan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of the whole cloud, too many for recursive SQL; dbscan_components has those of its SQL's labels alone."""
+    """Clusters of the whole cloud, too many for recursive SQL."""
     return space.dbscan(points(spark, sf_dir), 0.05, 4)
 
 
@@ -348,13 +331,6 @@ def compose_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", r6(F.col("m")[3]).alias("px"), r6(F.col("m")[7]).alias("py"), F.col("m")[11].alias("pz"), r6(F.col("m")[0]).alias("c"))
 
 
-@query(f"WITH {POSES} SELECT id, round(yaw % 360, 6) AS heading FROM s WHERE yaw < 360")
-def heading_zenit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    half = F.radians(F.col("yaw") / 2)
-    q = L.vec(0, 0, F.sin(half), F.cos(half))
-    return poses(spark, sf_dir).where("yaw < 360").select("id", r6(L.heading(q)).alias("heading"))
-
-
 @query(f"WITH {POSES}, d AS (SELECT p.id, q.id AS other, degrees(atan2(q.y - p.y, q.x - p.x)) AS b FROM s p JOIN s q ON q.id = p.id + 1) SELECT id, other, round(CASE WHEN b < 0 THEN b + 360 ELSE b END, 6) AS bearing FROM d")
 def bearing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = poses(spark, sf_dir).select("id", "x", "y", "z")
@@ -405,12 +381,7 @@ def lambert72_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("c_custkey").alias("id"), F.round(F.round(F.col("l")[0] / 0.1, 0) * 0.1, 1).alias("x"), F.round(F.round(F.col("l")[1] / 0.1, 0) * 0.1, 1).alias("y"))
 
 
-@query("SELECT event_id AS id, try_cast(regexp_extract(props, '([-+]?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)(?:[eE][-+]?[0-9]+)?)', 1) AS DOUBLE) AS first FROM events")
-def literal_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.regexp_extract("props", f"({X.NUMBER})", 1).try_cast("double").alias("first"))
-
-
-@query("SELECT p_partkey AS id, [p_partkey::DOUBLE, p_size::DOUBLE, 0.5::DOUBLE, p_retailprice] AS v, 2 AS ncols FROM part".replace("[p_partkey::DOUBLE, p_size::DOUBLE, 0.5::DOUBLE, p_retailprice] AS v", "p_partkey::DOUBLE AS v0, p_size::DOUBLE AS v1, 0.5::DOUBLE AS v2, p_retailprice AS v3"))
+@query("SELECT p_partkey AS id, p_partkey::DOUBLE AS v0, p_size::DOUBLE AS v1, 0.5::DOUBLE AS v2, p_retailprice AS v3, 2 AS ncols FROM part")
 def literal_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("[["), F.col("p_partkey"), F.lit(" "), F.col("p_size"), F.lit("]\n [.5, "), F.format_string("%.10f", "p_retailprice"), F.lit("]]"))
     m = read(spark, sf_dir, "part").select("p_partkey", X.to_matrix(text).alias("m"))
@@ -435,11 +406,6 @@ def subject_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triples(spark, sf_dir).select("subject", X.subject_name(F.col("subject")).alias("name")).distinct()
 
 
-@query("SELECT event_id AS id, 'integer' AS kind, 'float' AS kind2, 'string' AS kind3 FROM events")
-def data_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), X.xsd_type(F.col("event_id").cast("string")).alias("kind"), X.xsd_type(F.format_string("%.3f", "value")).alias("kind2"), X.xsd_type(F.concat(F.lit("e "), "event_type")).alias("kind3"))
-
-
 @query("SELECT s_suppkey AS id, round(abs(degrees(atan2(3, 1 + s_nationkey) - atan2(1, 2))), 6) AS angle FROM supplier")
 def angle_between_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = [F.lit(0.0), F.lit(0.0), 1 + F.col("s_nationkey").cast("double"), F.lit(3.0)]
@@ -454,14 +420,9 @@ def _ray_grid(part: DataFrame) -> DataFrame:
     return generate.vertical_rays(b, 0.5).select("id", F.col("ox").alias("x"), F.col("oy").alias("y"))
 
 
-@query("SELECT p_partkey AS id, i * 0.5::DOUBLE AS x, j * 0.5::DOUBLE AS y FROM part, generate_series(0, 19) a(i), generate_series(0, 19) b(j) WHERE p_partkey <= 50 AND i < greatest(ceil(round((p_size / 10.0::DOUBLE) / 0.5, 9)), 1) AND j < greatest(ceil(round((p_size / 20.0::DOUBLE) / 0.5, 9)), 1)")
-def xy_ray_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ray_grid(read(spark, sf_dir, "part").where("p_partkey <= 50"))
-
-
 @query("SELECT p_partkey AS id, i * 0.5::DOUBLE AS x, j * 0.5::DOUBLE AS y FROM (SELECT p_partkey, greatest(ceil(round((p_size / 10.0::DOUBLE) / 0.5, 9)), 1)::BIGINT AS nx, greatest(ceil(round((p_size / 20.0::DOUBLE) / 0.5, 9)), 1)::BIGINT AS ny FROM part), unnest(range(nx)) a(i), unnest(range(ny)) b(j)")
 def xy_ray_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rays of every part; xy_ray_grid has those of its SQL's parts."""
+    """The rays of every part."""
     return _ray_grid(read(spark, sf_dir, "part"))
 
 
@@ -528,13 +489,6 @@ def skip_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.every_nth(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c")), ["c"], ["id"], 3)
 
 
-@query("SELECT DISTINCT n.n_regionkey::BIGINT AS parent, count(*) OVER (PARTITION BY n.n_regionkey) AS members, min(s_suppkey % 13) OVER (PARTITION BY n.n_regionkey)::DOUBLE AS xmin, max(s_suppkey % 13) OVER (PARTITION BY n.n_regionkey)::DOUBLE AS xmax FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey")
-def set_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
-    m = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("n_regionkey").cast("long").alias("parent"), (F.col("s_suppkey") % 13).cast("double").alias("x"))
-    return m.groupBy("parent").agg(F.count(F.lit(1)).alias("members"), F.min("x").alias("xmin"), F.max("x").alias("xmax"))
-
-
 # hulls, normals, rasters, colours
 
 
@@ -599,7 +553,13 @@ def aci_color(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("s_suppkey").alias("id"), F.col("c")[0].alias("r"), F.col("c")[2].alias("b"))
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT o_custkey % 20 AS flight, o_orderkey AS image, (o_orderkey % 100)::DOUBLE AS x, (o_custkey % 100)::DOUBLE AS y, o_totalprice / 10000 AS z FROM orders),
+w AS (SELECT flight, avg(z) * 2 * tan(radians(47.0)) * 0.5 AS least FROM i GROUP BY flight),
+n AS (SELECT i.*, least, row_number() OVER (PARTITION BY flight ORDER BY image) AS k FROM i JOIN w USING (flight)),
+s(flight, k, image, x, y, kept) AS (SELECT flight, k, image, x, y, TRUE FROM n WHERE k = 1 UNION ALL
+  SELECT flight, k, image, CASE WHEN far THEN x ELSE lx END, CASE WHEN far THEN y ELSE ly END, far FROM (
+    SELECT n.flight, n.k, n.image, n.x, n.y, s.x AS lx, s.y AS ly, sqrt((n.x - s.x) * (n.x - s.x) + (n.y - s.y) * (n.y - s.y)) > least AS far FROM s JOIN n ON n.flight = s.flight AND n.k = s.k + 1))
+SELECT flight, image FROM s WHERE kept""")
 def image_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     images = o.select((F.col("o_custkey") % 20).alias("flight"), F.col("o_orderkey").alias("image"), (F.col("o_orderkey") % 100).cast("double").alias("x"), (F.col("o_custkey") % 100).cast("double").alias("y"), (F.col("o_totalprice") / 10_000).alias("z"))
@@ -612,14 +572,11 @@ def color_by_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     return space.by_height(p, (6.0, 12.0, 24.0)).select("id", (F.col("band") + 1).alias("bucket"))
 
 
-@query("SELECT doc_id AS id, len(list_filter(regexp_split_to_array(regexp_replace(text, '[\\[\\](){}''\"]', ' ', 'g'), '[\\s,;]+'), lambda x: x <> '')) AS n FROM documents WHERE text NOT LIKE '%None%'")
-def literal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").where(~F.col("text").contains("None")).select(F.col("doc_id").alias("id"), F.size(X.to_list(F.col("text"))).cast("long").alias("n"))
-
-
-@query()
+@query(
+    """SELECT doc_id AS id, CASE WHEN text NOT LIKE '%None%' THEN len(list_filter(regexp_split_to_array(regexp_replace(text, '[\\[\\](){}''\"]', ' ', 'g'), '[\\s,;]+'), lambda x: x <> '')) END AS n FROM documents"""
+)
 def literal_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every document, null where its text is null or stands for none; literal_list has the documents of its SQL."""
+    """Tokens of every document, null where its text is null or stands for none."""
     tokens = X.to_list(F.col("text"))
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(tokens.isNotNull(), F.size(tokens)).cast("long").alias("n"))
 

@@ -59,3 +59,12 @@ TRIPLES = """t AS (
   UNION ALL SELECT 'region/' || r_regionkey, 'type', 'Region' FROM region UNION ALL SELECT 'region/' || r_regionkey, 'label', r_name FROM region
   UNION ALL SELECT 'supplier/' || s_suppkey, 'type', 'Supplier' FROM supplier UNION ALL SELECT 'supplier/' || s_suppkey, 'label', s_name FROM supplier WHERE s_acctbal > 0
   UNION ALL SELECT 'supplier/' || s_suppkey, 'isPartOf', 'nation/' || s_nationkey FROM supplier)"""
+
+
+def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point for each line of an order, as a scan of the parts' places: id, x, y, z."""
+    p, s, o = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_orderkey")
+    return read(spark, sf_dir, "lineitem").select(((o * 8 + F.col("l_linenumber")) * 100_000_000 + p * 1000 + s % 1000).alias("id"), (p % 97 + (o % 101) / 101.0).alias("x"), (p % 89 + (s % 103) / 103.0).alias("y"), (F.col("l_quantity") / 5 + F.col("l_tax")).alias("z"))
+
+
+CLOUD = """cloud AS (SELECT (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS id, l_partkey % 97 + (l_orderkey % 101) / 101.0::DOUBLE AS x, l_partkey % 89 + (l_suppkey % 103) / 103.0::DOUBLE AS y, l_quantity / 5.0::DOUBLE + l_tax AS z FROM lineitem)"""
