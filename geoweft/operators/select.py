@@ -51,10 +51,9 @@ def overlapping_boxes(boxes: DataFrame, others: DataFrame, cell: float, key: str
 
     def spread(df: DataFrame, name: str) -> DataFrame:
         spans = [F.sequence(F.floor(F.col(f"{c}min") / cell).cast("long"), F.floor(F.col(f"{c}max") / cell).cast("long")) for c in "xyz"]
-        out = df.select(F.struct(F.col(key).alias("id"), *(F.col(f"{c}{s}") for c in "xyz" for s in ("min", "max"))).alias(name), *(s.alias(f"s{c}") for s, c in zip(spans, "xyz", strict=True)))
-        for c in "xyz":
-            out = out.withColumn(f"c{c}", F.explode(f"s{c}"))
-        return out.drop("sx", "sy", "sz")
+        cells = F.flatten(F.transform(spans[0], lambda i: F.flatten(F.transform(spans[1], lambda j: F.transform(spans[2], lambda k: F.struct(i.alias("cx"), j.alias("cy"), k.alias("cz")))))))
+        own = F.struct(F.col(key).alias("id"), *(F.col(f"{c}{s}") for c in "xyz" for s in ("min", "max")))
+        return df.select(own.alias(name), F.explode(cells).alias("_c")).select(name, "_c.cx", "_c.cy", "_c.cz")
 
     joined = spread(boxes, "a").join(spread(others, "b"), ["cx", "cy", "cz"])
     test, first = F.lit(True), F.lit(True)
