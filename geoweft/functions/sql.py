@@ -86,8 +86,8 @@ def text_of(column: Column) -> str:
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Registers all functions in the session and returns their names."""
-    heads = dict(FUNCTIONS)
+    """Registers all functions in the session and returns their names; afterwards FUNCTIONS holds the text of those that stand for columns and rows too."""
+    heads = FUNCTIONS
     for name, arguments, kind, build in COLUMNS:
         heads[f"{name}({', '.join(f'{a} {t}' for a, t in arguments.items())}) RETURNS {kind}"] = text_of(build(*map(F.col, arguments)).cast(kind))
     for name, arguments, fields, body in ROWS:
