@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,6 +19,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 HELD = 500_000
 
 
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def let_go() -> None:
+    """Hands the memory that a task has done with back to the machine, since its worker goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def lower_ascii(text: str | Column) -> Column:
     """A-Z to a-z and nothing else; lower() also changes letters beyond ASCII."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -69,6 +83,7 @@ def _local_stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from forest.edges()
             forest = Forest()
     yield from forest.edges()
+    let_go()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from geoweft.llm.common import let_go
+
 #: N-grams of these lengths share this many buckets.
 ORDERS, BUCKETS = (2, 3), 1 << 15
 #: So many characters, divided by the number of languages, are scored at once.
@@ -106,7 +108,7 @@ def held_out(id_col: str) -> Column:
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lang in sorted(set(langs)):
             own = [x for x, y in zip(texts, langs, strict=True) if y == lang and has_letter(x)]
@@ -163,6 +165,7 @@ def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
                     for held, new in zip(out, shared.value.likeliest(texts.slice(k, 256).to_pylist()), strict=True):
                         held += new
                 yield pa.StructArray.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())], ["name", "best", "rest"])
+            let_go()
 
         return likeliest
 

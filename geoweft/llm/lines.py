@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from geoweft.llm.common import HELD, Forest, connected_components, runs
+from geoweft.llm.common import HELD, Forest, connected_components, let_go, runs
 from geoweft.shared import drop, table
 
 #: Characters of a shingle, bands and rows of a band: a pair of similarity 0.8 shares a band with probability 0.99, one of 0.9 with 0.9999.
@@ -22,8 +22,8 @@ BINS = BANDS * ROWS
 FILTER_BITS = 1 << 26
 #: So many characters are hashed at once.
 BLOCK = 1 << 18
-#: Shingle sets that a task remembers, in a worker of bounded memory; larger buckets than this aren't pruned pair by pair.
-SETS, PAIRED = 500, 64
+#: Shingles in the sets that a task remembers, in a worker of bounded memory; larger buckets than this aren't pruned pair by pair.
+SETS, PAIRED = 100_000, 64
 EMPTY = np.uint32(0xFFFFFFFF)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 #: For each bin the order in which an empty one looks for a bin to borrow from.
@@ -100,6 +100,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held, size = [], 0
     if held:
         yield flush()
+    let_go()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +165,8 @@ def _texts(bits: np.ndarray, spark):
                     for k in np.flatnonzero(_found(known, h)).tolist():
                         found[int(h[k])] = lines[k][1]
             yield pa.RecordBatch.from_arrays([_signed(list(found)), pa.array(list(found.values()), pa.string())], ["h", "line"])
+            del found
+        let_go()
 
     return make
 
@@ -172,12 +175,16 @@ def _verified(similarity: float):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
         sets: dict[int, frozenset[str]] = {}
+        held = 0
 
         def shingled(h: int, line: str) -> frozenset[str]:
+            nonlocal held
             if h not in sets:
-                if len(sets) >= SETS:
+                if held >= SETS:
                     sets.clear()
+                    held = 0
                 sets[h] = shingles(line)
+                held += len(sets[h])
             return sets[h]
 
         for bucket in runs(batches, ["band"], least=2):
@@ -203,6 +210,8 @@ def _verified(similarity: float):
                         others.append(c)
                 classes = [joined, *others]
         yield from forest.edges()
+        sets.clear()
+        let_go()
 
     return make
 
@@ -248,14 +257,17 @@ def line_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 def _without(rows: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Texts without the lines of these numbers; all lines stay where there are none."""
     for texts, gone in rows:
-        out = []
-        for text, numbers in zip(texts, gone, strict=True):
-            text, numbers = text.as_py(), numbers.as_py()
-            if numbers:
-                numbers = {*numbers}
-                text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in numbers)
-            out.append(text)
-        yield pa.array(out, pa.string())
+        parts = []
+        for at in range(0, len(texts), 256):  # a worker never holds all of a batch twice
+            out = []
+            for text, numbers in zip(texts.slice(at, 256).to_pylist(), gone.slice(at, 256).to_pylist(), strict=True):
+                if numbers:
+                    numbers = {*numbers}
+                    text = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in numbers)
+                out.append(text)
+            parts.append(pa.array(out, pa.string()))
+        yield pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+    let_go()
 
 
 def _may_hold(bits: np.ndarray, spark):

@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
-from geoweft.shared import table
+from geoweft.llm.common import let_go
 from geoweft.llm.tokens import BATCH_BYTES, REMEMBERED, STOPS, _chunks, load, signs, simple, size, slices
+from geoweft.shared import table
 
 #: Pieces are numbered in chunks of about this many.
 CHUNK = 20_000
@@ -129,11 +130,14 @@ class Encoder:
     def _bytes(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
+
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The parts of the texts, all of them known afterwards."""
         parts = [plain(x).split(" ") for x in texts]
         if self.held > REMEMBERED:
-            self.known, self.held = {}, 0
+            self.forget()
         known, pieces, stops = self.known, self.pieces, self.stops
         new, others = set().union(*parts).difference(known), []
         for x in new:
@@ -195,7 +199,8 @@ def pieces(path: str, capacity: int):
                     ends.append(len(piece))
             fields = pa.StructArray.from_arrays([pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["piece", "start", "length", "ids_crc32"])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields).cast(to_arrow_type(PIECES))
-        pa.default_memory_pool().release_unused()
+        e.forget()
+        let_go()
 
     return cut
 

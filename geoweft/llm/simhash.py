@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from geoweft.llm.common import Forest, connected_components, runs
+from geoweft.llm.common import Forest, connected_components, let_go, runs
 from geoweft.shared import table
 
 #: So many shingles are turned into bits at once.
@@ -49,6 +49,7 @@ def fingerprints(shingle: int = 4, seed: int = 42):
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array(np.array([fingerprint(x.as_py() or "", shingle, seed) for x in texts], np.uint64).view(np.int64))
+        let_go()
 
     return make
 

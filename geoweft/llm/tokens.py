@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from geoweft.llm.common import let_go
+
 #: A batch for the tokenizer ends at about so many bytes of UTF-8; a longer text is split at safe boundaries.
 BATCH_BYTES = 1 << 18
-#: About so many bytes of parts of text, with what they encode to, are remembered in each worker, over all its tasks; then it forgets them all.
-REMEMBERED = 32 << 20
+#: About so many bytes of parts of text, with what they encode to, are remembered in a task; then it forgets them all. More saves little: rare parts come once.
+REMEMBERED = 8 << 20
 #: Rows of an Arrow batch that become Python strings at a time.
 ROWS = 128
 #: A space before anything but white space (and what older tables of Unicode take for it) begins a piece. In most texts every space is such a one.
@@ -88,6 +90,9 @@ class PieceCounter:
     def encode(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for part in _chunks(texts) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
+    def forget(self) -> None:
+        self.first, self.rest, self.held = {}, {}, 0
+
     def _learn(self, known: dict, parts: set[str], prefix: str) -> None:
         new, others = parts.difference(known), []
         space, pieces = SPACE if prefix else "", self.pieces
@@ -103,7 +108,7 @@ class PieceCounter:
     def _add(self, todo: list[tuple[int, list[str]]], out: list[int]) -> None:
         """Sums the parts of each text of todo, and empties todo."""
         if self.held > REMEMBERED:
-            self.first, self.rest, self.held = {}, {}, 0
+            self.forget()
         self._learn(self.first, {p[0] for _, p in todo}, "")
         self._learn(self.rest, set().union(*(p[1:] for _, p in todo)), " ")
         for k, p in todo:
@@ -137,7 +142,8 @@ def lengths(path: str) -> Callable[..., Column]:
         c = counter(path)
         for texts in batches:
             yield pa.array([n for part in slices(texts) for n in c.counts(part)], pa.int64())
-        pa.default_memory_pool().release_unused()
+        c.forget()
+        let_go()
 
     return count
 
