@@ -409,3 +409,12 @@ def _plan(df):
 def test_cut_triangles_are_not_broadcast(spark):
     df = spark.createDataFrame([(1, 0.1, 0.2, 9.0, 0.0, 0.0, -1.0)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
     assert "SortMergeJoin" in _plan(rays.hits(df, boxed(spark, (0, 0, 0, 2, 2, 2, 0, 0, 0)), 1.0))
+
+
+def test_no_ray_slips_between_faces(spark):
+    mesh = boxed(spark, (0.15, 0.35, 9.77, 2.3, 2.3, 2.3, 0, 0, 0))
+    # aimed at points of the diagonal that the two faces of a side share
+    aims = [(0.15 - 1.15 + 2.3 * k / 97, 0.35 - 1.15 + 2.3 * k / 97, 9.77 + 1.15) for k in range(1, 97)]
+    df = spark.createDataFrame([(k, 0.31, 0.17, 40.07, x - 0.31, y - 0.17, z - 40.07) for k, (x, y, z) in enumerate(aims)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    got = {r.ray_id: r.t for r in rays.first_hits(df, mesh, 1.0).collect()}
+    assert len(got) == 96 and all(t == pytest.approx(1) for t in got.values())
