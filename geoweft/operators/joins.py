@@ -33,7 +33,8 @@ def within_distance(queries: DataFrame, references: DataFrame, radius: float, sa
     copies = F.flatten(F.transform(cells, lambda c: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")), lambda n: F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"), c["cz"].alias("cz"), n.alias("salt")))))
     r = references.select(F.struct("*").alias("r"), F.explode(copies).alias("c")).select("r", "c.cx", "c.cy", "c.cz", "c.salt")
     d2 = L.distance2(xyz("q"), xyz("r"))
-    return q.join(r, ["cx", "cy", "cz", "salt"]).select("q", "r", d2.alias("d2")).where(F.col("d2") <= radius * radius).select("q", "r", F.sqrt("d2").alias("d"))
+    # Spark knows the references' size before they are copied only, and would broadcast far larger ones
+    return q.join(r.hint("merge"), ["cx", "cy", "cz", "salt"]).select("q", "r", d2.alias("d2")).where(F.col("d2") <= radius * radius).select("q", "r", F.sqrt("d2").alias("d"))
 
 
 def nearest_within(queries: DataFrame, references: DataFrame, radius: float, key: str = "id", ref_key: str = "id") -> DataFrame:

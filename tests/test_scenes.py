@@ -418,3 +418,15 @@ def test_no_ray_slips_between_faces(spark):
     df = spark.createDataFrame([(k, 0.31, 0.17, 40.07, x - 0.31, y - 0.17, z - 40.07) for k, (x, y, z) in enumerate(aims)], "ray_id long, ox double, oy double, oz double, dx double, dy double, dz double")
     got = {r.ray_id: r.t for r in rays.first_hits(df, mesh, 1.0).collect()}
     assert len(got) == 96 and all(t == pytest.approx(1) for t in got.values())
+
+
+def test_copied_points_are_not_broadcast(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "id long, x double, y double, z double")
+    other = spark.read.schema(df.schema).parquet(_stored(df, spark))
+    assert "SortMergeJoin" in _plan(joins.within_distance(other, other, 1.0))
+
+
+def _stored(df, spark):
+    from geoweft.shared import table
+
+    return table(df).inputFiles()[0]
