@@ -70,10 +70,31 @@ def outline_mask(lines: DataFrame) -> DataFrame:
     return found.withColumn("_p", F.explode(pairs)).where("_p.col0 <= _p.col1").select("image", "row", "_p.col0", "_p.col1")
 
 
+def grown_runs(runs: DataFrame, buffer: int = 0, band: int = 64) -> DataFrame:
+    """Runs of columns grown by a square of buffer pixels: image, row, col0, col1, no pixel in two of them.
+
+    A band of rows of an image is a group, which also gets the runs that reach into it; each row then takes the runs within the buffer and merges them.
+    """
+    near = F.explode(F.sequence(F.floor((F.col("row") - buffer) / band).cast("int"), F.floor((F.col("row") + buffer) / band).cast("int")))
+    run = F.struct(F.greatest(F.col("col0") - buffer, F.lit(0)).cast("int").alias("col0"), (F.col("col1") + buffer).cast("int").alias("col1"), F.col("row").cast("int").alias("row"))
+    groups = runs.select("image", run.alias("r"), near.alias("_b")).where("r.col1 >= 0").groupBy("image", "_b").agg(F.sort_array(F.collect_list("r")).alias("_r"))
+    first = F.greatest(F.col("_b") * band, F.array_min("_r.row") - buffer, F.lit(0))
+    last = F.least(F.col("_b") * band + band - 1, F.array_max("_r.row") + buffer)
+    rows = groups.withColumns({"_first": first, "_last": last}).where("_first <= _last").withColumn("row", F.explode(F.sequence("_first", "_last")))
+    own = F.transform(F.filter("_r", lambda r: F.abs(r["row"] - F.col("row")) <= buffer), lambda r: F.struct(r["col0"].alias("col0"), r["col1"].alias("col1")))
+
+    def merged(done, r):
+        end = F.get(done, F.size(done) - 1)
+        wider = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(end["col0"].alias("col0"), F.greatest(end["col1"], r["col1"]).alias("col1"))))
+        return F.when(F.size(done) == 0, F.array(r)).when(r["col0"] <= end["col1"] + 1, wider).otherwise(F.concat(done, F.array(r)))
+
+    whole = F.aggregate(own, F.array().cast("array<struct<col0:int,col1:int>>"), merged)
+    return rows.select("image", "row", F.explode(whole).alias("_p")).select("image", "row", "_p.col0", "_p.col1")
+
+
 def mask_pixels(runs: DataFrame, buffer: int = 0) -> DataFrame:
     """Pixels of runs of columns, grown by a square of buffer pixels: image, row, col."""
-    grown = runs.withColumn("_i", F.explode(F.sequence(F.lit(-buffer), F.lit(buffer)))).withColumn("_j", F.explode(F.sequence(F.col("col0") - buffer, F.col("col1") + buffer)))
-    return grown.select("image", (F.col("row") + F.col("_i")).alias("row"), F.col("_j").alias("col")).where("row >= 0 AND col >= 0").distinct()
+    return grown_runs(runs, buffer).select("image", "row", F.explode(F.sequence("col0", "col1")).alias("col"))
 
 
 def crop_to_mask(pixels: DataFrame, mask: DataFrame) -> DataFrame:

@@ -430,3 +430,13 @@ def _stored(df, spark):
     from geoweft.shared import table
 
     return table(df).inputFiles()[0]
+
+
+def test_grown_runs_hold_each_pixel_once(spark):
+    rng = np.random.default_rng(4)
+    runs = [(int(i), int(r), int(c), int(c + w)) for i, r, c, w in zip(rng.integers(0, 3, 60), rng.integers(0, 150, 60), rng.integers(0, 30, 60), rng.integers(0, 9, 60), strict=True)]
+    df = spark.createDataFrame(runs, "image long, row int, col0 int, col1 int")
+    for buffer in (0, 2):
+        want = {(i, r + a, c) for i, r, c0, c1 in runs for a in range(-buffer, buffer + 1) for c in range(c0 - buffer, c1 + buffer + 1) if r + a >= 0 and c >= 0}
+        assert sorted(map(tuple, project.mask_pixels(df, buffer).collect())) == sorted(want)
+        assert project.grown_runs(df, buffer).selectExpr("sum(col1 - col0 + 1)").first()[0] == len(want)
