@@ -123,7 +123,9 @@ def cast_vertical(rays: DataFrame, triangles: DataFrame, cell: float) -> DataFra
     spans = [F.sequence(F.floor(F.least(*(f"{v}{c}" for v in "abc")) / cell).cast("long"), F.floor(F.greatest(*(f"{v}{c}" for v in "abc")) / cell).cast("long")) for c in "xy"]
     t = triangles.select("*", F.explode(spans[0]).alias("i"), spans[1].alias("js")).withColumn("j", F.explode("js")).drop("js")
     hit = G.ray_triangle(L.vec(F.col("ox"), F.col("oy"), F.col("oz")), L.vec(0.0, 0.0, F.col("dz")), *(L.vec(*(F.col(f"{v}{c}") for c in "xyz")) for v in "abc"))
-    hits = r.join(t, ["i", "j"]).withColumn("t", hit).where(F.col("t").isNotNull())
+    hits = r.join(t.hint("merge"), ["i", "j"]).withColumn("t", hit).where(F.col("t").isNotNull())
+    # a level face lies at its own height exactly, so faces of one height tie
+    hits = hits.withColumn("t", F.when((F.col("az") == F.col("bz")) & (F.col("az") == F.col("cz")), (F.col("az") - F.col("oz")) / F.col("dz")).otherwise(F.col("t")))
     return hits.groupBy("ray_id").agg(F.min(F.struct("t", "subject", "fid")).alias("m")).select("ray_id", "m.subject", "m.fid", "m.t")
 
 

@@ -446,3 +446,11 @@ def test_points_on_faces_are_inside(spark):
     mesh = boxed(spark, (0, 0, 0, 2, 2, 2, 0, 0, 0))
     pts = spark.createDataFrame([(1, 0.3, 0.2, 1.0), (2, 0.3, 0.2, -1.0), (3, 1.0, 0.2, 0.1), (4, 0.2, -1.0, 0.1), (5, 1.0, 1.0, 1.0), (6, 0.3, 0.2, 1.0000001), (7, 1.1, 0.2, 1.0)], "id long, x double, y double, z double")
     assert {r.id for r in rays.inside_meshes(pts, mesh, 0.8).collect()} == {1, 2, 3, 4, 5}
+
+
+def test_level_faces_of_one_height_tie(spark):
+    rng = np.random.default_rng(5)
+    flat = lambda s, x: (s, 0, *(float(v) for p in ((-x, -x), (3 + x, -x), (-x, 3 + x)) for v in (*p, 11.027)))
+    mesh = spark.createDataFrame([flat(k, float(x)) for k, x in enumerate(rng.uniform(0.1, 2, 30))], "subject long, fid int, " + ", ".join(f"{c} double" for c in CORNERS))
+    df = spark.createDataFrame([(k, float(x), float(y), 40.0, -1.0) for k, (x, y) in enumerate(rng.uniform(0, 1, (20, 2)))], "ray_id long, ox double, oy double, oz double, dz double")
+    assert {(r.subject, r.t) for r in joins.cast_vertical(df, mesh, 4.0).collect()} == {(0, 40 - 11.027)}
