@@ -177,7 +177,8 @@ def oriented_boxes(points: DataFrame, by: str = "subject") -> DataFrame:
 
     frames = sums.mapInPandas(solve, f"{by} {kind}, mx double, my double, mz double, axes array<double>")
     along = [sum((F.col(c) - F.col(f"m{c}")) * F.col("axes")[3 * k + n] for n, c in enumerate("xyz")) for k in range(3)]
-    spans = points.select(by, "x", "y", "z").join(frames, by).groupBy(by).agg(F.first("axes").alias("a"), F.first(F.array("mx", "my", "mz")).alias("m"), *(f(along[k]).alias(f"{n}{k}") for k in range(3) for n, f in (("lo", F.min), ("hi", F.max))))
+    # Spark may know the size of what the points are made from only, and would broadcast far larger ones
+    spans = points.select(by, "x", "y", "z").join(frames.hint("merge"), by).groupBy(by).agg(F.first("axes").alias("a"), F.first(F.array("mx", "my", "mz")).alias("m"), *(f(along[k]).alias(f"{n}{k}") for k in range(3) for n, f in (("lo", F.min), ("hi", F.max))))
     a, half = F.col("a"), [(F.col(f"lo{k}") + F.col(f"hi{k}")) / 2 for k in range(3)]
     centre = [F.col("m")[n] + sum(half[k] * a[3 * k + n] for k in range(3)) for n in range(3)]
     rotation = [a[3 * c + r] for r in range(3) for c in range(3)]

@@ -439,6 +439,13 @@ def test_copied_points_are_not_broadcast(spark):
     assert "SortMergeJoin" in _plan(joins.within_distance(other, other, 1.0))
 
 
+def test_points_of_boxes_are_not_broadcast(spark):
+    df = spark.createDataFrame([("a", 0.0, 0.0, 0.0)], "subject string, x double, y double, z double")
+    corners = spark.read.schema(df.schema).parquet(_stored(df, spark)).withColumn("x", F.explode(F.array(F.lit(0.0), F.lit(1.0))))
+    plan = _plan(kernels.oriented_boxes(corners))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def _stored(df, spark):
     from geoweft.shared import table
 
