@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -18,11 +18,15 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
 from geoweft.llm.common import let_go
-from geoweft.llm.tokens import BATCH_BYTES, REMEMBERED, STOPS, _chunks, load, signs, simple, size, slices
+from geoweft.llm.tokens import BATCH_BYTES, STOPS, _chunks, load, signs, simple, size, slices
 from geoweft.shared import table
 
+#: About so many bytes of parts of text with their ids are remembered in a task; then those go that came in one group of texts only, or all if that isn't half of them.
+REMEMBERED = 24 << 20
 #: Pieces are numbered in chunks of about this many.
 CHUNK = 20_000
+#: Writes so many ids as little-endian bytes.
+FEW = [struct.Struct(f"<{n}I").pack for n in range(12)]
 #: The id that ends every document.
 END = 0
 
@@ -122,34 +126,54 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.known, self.held = load(path), {}, 0
+        self.tokenizer, self.known, self.again, self.held, self.room = load(path), {}, set(), 0, None
         self.pieces = self.tokenizer.model.tokenize
         self.stops = {x: self._bytes(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in STOPS}
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return FEW[len(ids)](*ids) if len(ids) < len(FEW) else struct.pack(f"<{len(ids)}I", *ids)
 
     def forget(self) -> None:
-        self.known, self.held = {}, 0
+        self.known, self.again, self.held = {}, set(), 0
+
+    @staticmethod
+    def _size(parts: Collection[str]) -> int:
+        return 5 * sum(map(len, parts)) + 150 * len(parts)
+
+    def _sweep(self) -> None:
+        """Forgets the parts that came once, or all where too many came again."""
+        self.known, self.held = {x: self.known[x] for x in self.again}, self._size(self.again)
+        self.again = set()
+        if self.held > (self.room or REMEMBERED) // 2:
+            self.forget()
 
     def learn(self, texts: list[str]) -> list[list[str]]:
         """The parts of the texts, all of them known afterwards."""
         parts = [plain(x).split(" ") for x in texts]
-        if self.held > REMEMBERED:
-            self.forget()
-        known, pieces, stops = self.known, self.pieces, self.stops
-        new, others = set().union(*parts).difference(known), []
+        if self.held > (self.room or REMEMBERED):
+            self._sweep()
+        known, pieces, stops, to_bytes = self.known, self.pieces, self.stops, self._bytes
+        seen = set().union(*parts)
+        new, others, stopped = seen.difference(known), [], []
+        self.again |= seen - new
         for x in new:
-            word = x[:-1] if x[-1:] in STOPS else x
+            if x[-1:] in STOPS:
+                stopped.append(x)
+            elif simple(x):
+                known[x] = to_bytes([t.id for t in pieces(signs(x.lower()))])
+            else:
+                others.append(x)
+        # a word before a stop is often known without it
+        for x in stopped:
+            word = x[:-1]
             if simple(word):
-                ids = [t.id for t in pieces(signs(word.lower()))]
-                known[x] = struct.pack(f"<{len(ids)}I", *ids) if word is x else struct.pack(f"<{len(ids)}I", *ids) + stops[x[-1]]
+                known[x] = (known.get(word) or to_bytes([t.id for t in pieces(signs(word.lower()))])) + stops[x[-1]]
             else:
                 others.append(x)
         for group in _chunks(others):
             known.update((x, self._bytes(e.ids)) for x, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True))
-        self.held += 5 * sum(map(len, new)) + 150 * len(new)
+        self.held += self._size(new)
         return parts
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -179,12 +203,13 @@ def encoder(path: str) -> Encoder:
 PIECES = T.ArrayType(T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]))
 
 
-def pieces(path: str, capacity: int):
-    """A Column function of a text: its pieces of at most capacity ids, the end's id counted. Null counts as the empty text."""
+def pieces(path: str, capacity: int, remembered: int | None = None):
+    """A Column function of a text: its pieces of at most capacity ids, the end's id counted. Null counts as the empty text. remembered: for REMEMBERED, where memory is short."""
 
     @arrow_udf(PIECES)
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         end, e = np.array([END], "<u4").tobytes(), encoder(path)
+        e.room = remembered
         for texts in batches:
             ends, piece, start, length, crc = [0], [], [], [], []
             for rows in slices(texts):
@@ -217,7 +242,7 @@ def placed(spark, slots: Slots):
     return place
 
 
-def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer: str | None = None) -> DataFrame:
+def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizer: str | None = None, remembered: int | None = None) -> DataFrame:
     """One row per piece: the document's id, piece (from 0), start, length, ids_crc32, sequence_id, offset.
 
     A document's ids are its text's tokens and then id 0; a null or empty text has that id alone. Only documents of more than capacity ids are cut.
@@ -226,7 +251,7 @@ def pack(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     offset 0 without gaps. Rows that repeat an id are documents of their own. Other columns are neither read nor returned; an empty table gives an empty one.
     """
     spark = documents.sparkSession
-    cut = pieces(tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity)
+    cut = pieces(tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity, remembered)
     rows = table(documents.select(F.col(id_col).alias("id"), F.explode(cut(F.col(text_col))).alias("p")).select("id", "p.*"))
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     place = placed(spark, Slots(minimum_bin_slack(counts, capacity)))

@@ -377,3 +377,16 @@ def test_forest_edges_keep_what_is_united():
     for a, b in ((1, 2), (2, 3), (7, 8)):
         forest.union(a, b)
     assert sorted((u, v) for batch in forest.edges() for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True)) == [(2, 1), (3, 1), (8, 7)]
+
+
+def test_parts_that_come_again_are_encoded_once(monkeypatch):
+    common, rare = [f"common{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)], iter(f"rare{a}{b}{c}" for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghij")
+    texts = [" ".join([*common, *(f"{x}," for x in common), *(next(rare) for _ in range(60))]) for _ in range(12)]
+    e = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    want = [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.tokenizer.encode(x, add_special_tokens=False).ids for x in texts)]
+    monkeypatch.setattr(packing, "REMEMBERED", 40_000)
+    monkeypatch.setattr(packing, "BATCH_BYTES", 100)
+    asked, pieces = [], e.pieces
+    e.pieces = lambda word: asked.append(word) or pieces(word)
+    assert list(e.encode(texts)) == want
+    assert len(asked) == len(common) + 12 * 60
