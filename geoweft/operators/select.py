@@ -84,4 +84,5 @@ def thin_by_overlap(images: DataFrame, by: str, order: str, ground: float, overl
             yield b.loc[kept, [by, order]]
 
     kinds = dict(images.dtypes)
-    return rows.repartition(by).sortWithinPartitions(by, order, "x", "y").mapInPandas(walk, f"{by} {kinds[by]}, {order} {kinds[order]}")
+    # a shuffle of its own: one by the join's key would be left out, and Spark splits large partitions of joins
+    return rows.repartition(F.xxhash64(by)).sortWithinPartitions(by, order, "x", "y").mapInPandas(walk, f"{by} {kinds[by]}, {order} {kinds[order]}")

@@ -474,3 +474,9 @@ def test_level_faces_of_one_height_tie(spark):
     mesh = spark.createDataFrame([flat(k, float(x)) for k, x in enumerate(rng.uniform(0.1, 2, 30))], "subject long, fid int, " + ", ".join(f"{c} double" for c in CORNERS))
     df = spark.createDataFrame([(k, float(x), float(y), 40.0, -1.0) for k, (x, y) in enumerate(rng.uniform(0, 1, (20, 2)))], "ray_id long, ox double, oy double, oz double, dz double")
     assert {(r.subject, r.t) for r in joins.cast_vertical(df, mesh, 4.0).collect()} == {(0, 40 - 11.027)}
+
+
+def test_thinning_shuffles_after_its_join(spark):
+    df = spark.createDataFrame([(1, 1, 0.0, 0.0, 5.0)], "flight long, image long, x double, y double, z double")
+    plan = _plan(select.thin_by_overlap(df.hint("merge"), "flight", "image", 0.0, 0.5))
+    assert "Exchange" in plan.partition("Join")[0]
