@@ -266,7 +266,7 @@ def volume_theoretical(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT element, round(q, 6) AS completion, CASE WHEN q >= 0.95 THEN 'green' WHEN q <= 0.25 THEN 'red' WHEN q <= 0.5 THEN 'amber' WHEN q < 0.95 THEN 'yellow' END AS color FROM r""")
 def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cells(spark, sf_dir)
-    out = measures.completion(measures.built_volume(c, ["element"], "mesh", "low", "high", 0.1), measures.full_volume(c, ["element"], "low", "high", 0.1), ["element"])
+    out = measures.completion(measures.built_volume(c, ["element"], "mesh", "low", "high", 0.1, None), measures.full_volume(c, ["element"], "low", "high", 0.1, None), ["element"])
     return rounded(out.select("element", "completion", "color"), "completion")
 
 

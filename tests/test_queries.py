@@ -75,3 +75,12 @@ def test_rays_at_edges_of_boxes_equal_sql(spark, duck, tmp_path):
     sql = catalog.ORACLES["ray_cast_by_element"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet/*.parquet'").replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")
     got = catalog.QUERIES["ray_cast_by_element"](spark, str(tmp_path)).select("ray_id", "subject", "t").collect()
     assert rows(["ray_id", "subject", "t"], map(tuple, got)) == rows(["ray_id", "subject", "t"], duck.execute(sql).fetchall())
+
+
+def test_completion_of_odd_lines_equals_sql(spark, duck, tmp_path):
+    # elements without a number, lines without a tax or a discount, depths beyond what a scanner would report
+    lines = [(None, 5.0, 0.02, 0.04), (None, 7.0, 0.1, 0.01), (1, 5.0, None, 0.04), (1, 5.0, 0.03, 0.08), (2, 5.0, 0.03, None), (2, 6.0, 0.03, 0.01), (3, 2000.0, 0.05, 0.02), (3, 5.0, 0.01, 0.02), (4, 20000.0, 0.05, 0.02), (5, None, 0.05, 0.02)]
+    spark.createDataFrame(lines, "l_suppkey long, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    sql = catalog.ORACLES["completion"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = catalog.QUERIES["completion"](spark, str(tmp_path)).select("element", "completion", "color").collect()
+    assert rows(["element", "completion", "color"], map(tuple, got)) == rows(["element", "completion", "color"], duck.execute(sql).fetchall())
