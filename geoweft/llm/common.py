@@ -112,21 +112,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
         drop(old)
 
 
-def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
-    """The rows of each key, which stand together in sorted batches, as one table; keys with fewer than least rows are left out."""
+def spans(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows of sorted batches, many whole keys at a time, and where each key's rows begin and the last ones end."""
     held: list[pa.RecordBatch] = []
 
-    def split(part: pa.Table, last: bool) -> Iterator[pa.Table]:
+    def split(part: pa.Table, last: bool) -> Iterator[tuple[pa.Table, np.ndarray]]:
         nonlocal held
         changed = np.zeros(max(0, part.num_rows - 1), bool)
         for key in keys:
             a = part.column(key).combine_chunks()
             changed |= pc.fill_null(pc.not_equal(a[1:], a[:-1]), False).to_numpy(zero_copy_only=False) | (pc.is_null(a[1:]).to_numpy(zero_copy_only=False) != pc.is_null(a[:-1]).to_numpy(zero_copy_only=False))
         cuts = np.r_[0, np.flatnonzero(changed) + 1, part.num_rows]
-        sizes = np.diff(cuts)
-        end = len(sizes) if last else len(sizes) - 1
-        for k in np.flatnonzero(sizes[:end] >= least):
-            yield part.slice(int(cuts[k]), int(sizes[k]))
+        end = len(cuts) - 1 if last else len(cuts) - 2
+        if end:
+            yield part.slice(0, int(cuts[end])), cuts[: end + 1]
         held = [] if last else part.slice(int(cuts[-2])).to_batches()
 
     rows = 0
@@ -140,6 +139,14 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 1) ->
         yield from split(pa.Table.from_batches(held), True)
 
 
+def runs(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
+    """The rows of each key, which stand together in sorted batches, as one table; keys with fewer than least rows are left out."""
+    for part, cuts in spans(batches, keys):
+        sizes = np.diff(cuts)
+        for k in np.flatnonzero(sizes >= least):
+            yield part.slice(int(cuts[k]), int(sizes[k]))
+
+
 def edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     """Rows u, v of two longs."""
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["u", "v"])

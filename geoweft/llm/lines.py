@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from geoweft.llm.common import HELD, Forest, connected_components, let_go, runs
+from geoweft.llm.common import HELD, Forest, connected_components, let_go, runs, spans
 from geoweft.shared import drop, table
 
 #: Characters of a shingle, bands and rows of a band: a pair of similarity 0.8 shares a band with probability 0.99, one of 0.9 with 0.9999.
@@ -20,10 +20,12 @@ SHINGLE, BANDS, ROWS = 8, 9, 4
 BINS = BANDS * ROWS
 #: Bits of the filters through which the texts of candidates and the documents that lose lines are found; 8 MB are all that is broadcast, at any size of input.
 FILTER_BITS = 1 << 26
-#: So many characters are hashed at once.
-BLOCK = 1 << 18
-#: Shingles in the sets that a task remembers, in a worker of bounded memory; larger buckets than this aren't pruned pair by pair.
-SETS, PAIRED = 100_000, 64
+#: So many characters are hashed at once: few enough for a processor's cache.
+BLOCK = 1 << 15
+#: About so many bytes of sets of shingles that a task remembers, in a worker of bounded memory; larger buckets than this aren't pruned pair by pair.
+SETS, PAIRED = 10 << 20, 64
+#: As many code points fit the bytes of a number.
+CODES = 256
 EMPTY = np.uint32(0xFFFFFFFF)
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
 #: For each bin the order in which an empty one looks for a bin to borrow from.
@@ -50,19 +52,25 @@ def bands(lines: list[str]) -> np.ndarray:
     lines = [x.strip().ljust(SHINGLE, "\0") for x in lines]
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = c[:-1] * _M[0] + c[1:]
-    h = h[:-2] * _M[1] + h[2:]
-    h = h[:-4] * _M[2] + h[4:]
-    own = np.repeat(np.arange(len(lines)), lengths)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(c))
-    at = np.flatnonzero(left >= SHINGLE)
-    h = h[at]
+    h = c[:-1] * _M[0]
+    h += c[1:]
+    for k in (1, 2):
+        rest = h[2 * k :]
+        h = h[: -2 * k] * _M[k]
+        h += rest
+    starts = np.ones(len(c), bool)
+    starts[np.cumsum(lengths)[:, None] - np.arange(1, SHINGLE)] = False
+    h = h[starts[: len(h)]]
     h ^= h >> np.uint64(33)
     h *= _M[3]
     h ^= h >> np.uint64(33)
+    at = h >> np.uint64(32)
+    at *= np.uint64(BINS)
+    at >>= np.uint64(32)
+    at = at.view(np.int64)
+    at += np.repeat(np.arange(0, len(lines) * BINS, BINS), lengths - SHINGLE + 1)
     signature = np.full(len(lines) * BINS, EMPTY, np.uint32)
-    bins = ((h >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(signature, own[at] * BINS + bins, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    np.minimum.at(signature, at, h.astype(np.uint32))
     signature = signature.reshape(-1, BINS)
     empty = signature == EMPTY
     filled = signature.copy()
@@ -126,14 +134,16 @@ def _uncovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A pair of lines is compared in the bucket of the smallest band that both have, once however many they share. bands are a line's bands, sorted.
     """
-    for bucket in runs(batches, ["band"], least=2):
-        band = bucket.column("band")[0].as_py()
-        smaller = [frozenset(b for b in x if b < band) for x in bucket.column("bands").to_pylist()]
-        if frozenset.intersection(*smaller):
-            continue
-        if len(smaller) <= PAIRED:
-            bucket = bucket.filter(pa.array([any(a.isdisjoint(b) for j, b in enumerate(smaller) if j != k) for k, a in enumerate(smaller)]))
-        yield from bucket.combine_chunks().to_batches()
+    for part, cuts in spans(batches, ["band"]):
+        every, bands, keep = part.column("band").to_numpy()[cuts[:-1]].tolist(), part.column("bands").to_pylist(), np.zeros(part.num_rows, bool)
+        for band, start, end in zip(every, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if end - start == 2:
+                keep[start:end] = min({*bands[start]}.intersection(bands[start + 1])) == band
+            elif end - start > 2:
+                smaller = [frozenset(b for b in x if b < band) for x in bands[start:end]]
+                if not frozenset.intersection(*smaller):
+                    keep[start:end] = len(smaller) > PAIRED or [any(a.isdisjoint(b) for j, b in enumerate(smaller) if j != k) for k, a in enumerate(smaller)]
+        yield from part.filter(pa.array(keep)).combine_chunks().to_batches()
 
 
 def _bits(hashes: DataFrame) -> np.ndarray:
@@ -171,33 +181,65 @@ def _texts(bits: np.ndarray, spark):
     return make
 
 
+class Shingled:
+    """The sets of shingles of one bucket's lines, exactly: sorted arrays of numbers whose bytes are a shingle's characters, or sets of strings where the bucket has more than CODES code points."""
+
+    def __init__(self, lines: list[str]) -> None:
+        self.lines, self.known, self.held = [x.strip() for x in lines], {}, 0
+        self.signs: dict[int, int] | None = None
+        self.packed = all(map(str.isascii, lines)) or max(map(max, filter(None, self.lines)), default="") < chr(CODES)
+        if not self.packed and len(codes := set().union(*self.lines)) <= CODES:
+            self.packed, self.signs = True, {ord(x): k for k, x in enumerate(sorted(codes))}
+
+    def __getitem__(self, k: int) -> np.ndarray | frozenset[str]:
+        if k not in self.known:
+            if self.held >= SETS:
+                self.known, self.held = {}, 0
+            self.known[k] = self._of(self.lines[k])
+            self.held += len(self.known[k]) * (8 if self.packed else 100)
+        return self.known[k]
+
+    def _of(self, line: str) -> np.ndarray | frozenset[str]:
+        if not self.packed:
+            return shingles(line)
+        if len(line) < SHINGLE:  # one shingle, that no other line of the bucket has
+            return np.empty(0, np.uint64)
+        raw = (line.translate(self.signs) if self.signs else line).encode("latin-1")
+        a = np.ndarray(len(raw) - SHINGLE + 1, np.uint64, raw, strides=(1,)).copy()
+        a.sort()
+        keep = np.empty(len(a), bool)
+        keep[0] = True
+        np.not_equal(a[1:], a[:-1], out=keep[1:])
+        return a if keep.all() else a[keep]
+
+    def similar(self, k: int, j: int, least: float) -> bool:
+        """Whether the Jaccard similarity of two different lines is least or more."""
+        a, b = self[k], self[j]
+        if not len(a) or not len(b) or min(len(a), len(b)) < least * max(len(a), len(b)):
+            return False
+        if self.packed:
+            both = np.concatenate((a, b))
+            both.sort()
+            both = int(np.count_nonzero(both[1:] == both[:-1]))
+        else:
+            both = len(a & b)
+        return both >= least * (len(a) + len(b) - both)
+
+
 def _verified(similarity: float):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        sets: dict[int, frozenset[str]] = {}
-        held = 0
-
-        def shingled(h: int, line: str) -> frozenset[str]:
-            nonlocal held
-            if h not in sets:
-                if held >= SETS:
-                    sets.clear()
-                    held = 0
-                sets[h] = shingles(line)
-                held += len(sets[h])
-            return sets[h]
-
         for bucket in runs(batches, ["band"], least=2):
             if len(forest.up) > HELD:
                 yield from forest.edges()
                 forest = Forest()
             band = bucket.column("band")[0].as_py()
             rows = bucket.column("h").to_pylist()
-            texts = bucket.column("line").to_pylist()
+            sets = Shingled(bucket.column("line").to_pylist())
             smaller = [frozenset(b for b in x if b < band) for x in bucket.column("bands").to_pylist()]
 
             def linked(k: int, j: int) -> bool:
-                return smaller[k].isdisjoint(smaller[j]) and _similar(shingled(rows[k], texts[k]), shingled(rows[j], texts[j]), similarity) and (forest.union(rows[k], rows[j]) or True)
+                return smaller[k].isdisjoint(smaller[j]) and sets.similar(k, j, similarity) and (forest.union(rows[k], rows[j]) or True)
 
             classes: list[list[int]] = []
             for k, h in enumerate(rows):
@@ -210,19 +252,11 @@ def _verified(similarity: float):
                         others.append(c)
                 classes = [joined, *others]
         yield from forest.edges()
-        sets.clear()
         let_go()
 
     return make
 
 
-def _similar(a: frozenset, b: frozenset, least: float) -> bool:
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return both >= least * (len(a) + len(b) - both)
-
-
 def line_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """One row per line that isn't blank: the document's id, line (its number from 0), class_id and class_line (id and line of the first line of its component), kept.
 
