@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import struct
 import zlib
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -18,11 +18,13 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
 
 from geoweft.llm.common import let_go
-from geoweft.llm.tokens import BATCH_BYTES, STOPS, _chunks, load, signs, simple, size, slices
+from geoweft.llm.tokens import BATCH_BYTES, load, signs, simple, slices
 from geoweft.shared import table
 
-#: About so many bytes of parts of text with their ids are remembered in a task; then those go that came in one group of texts only, or all if that isn't half of them.
-REMEMBERED = 24 << 20
+#: About so many bytes of parts of text with their ids are remembered in a task, in two halves: when the newer is full, the older goes, without the parts that came again since.
+REMEMBERED = 96 << 20
+#: Marks that make one piece after a word, whatever their number. None of them begins a short form or a special string.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Pieces are numbered in chunks of about this many.
 CHUNK = 20_000
 #: Writes so many ids as little-endian bytes.
@@ -122,76 +124,67 @@ class Encoder:
     """Token ids of whole texts as little-endian bytes, exactly as one call of the tokenizer gives them.
 
     The word tokenizer drops white space, so no token crosses a space: a text is the sum of its parts between spaces, and equal parts are encoded once. A word of plain letters is one
-    piece, which the model takes without the rest of the library, and a stop after it is another. All else, letters beyond Latin-1 too, goes through the library as it is.
+    piece, which the model takes without the rest of the library, and the marks after it are another. All else, letters beyond Latin-1 too, goes through the library as it is.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.known, self.again, self.held, self.room = load(path), {}, set(), 0, None
+        self.tokenizer, self.room = load(path), None
         self.pieces = self.tokenizer.model.tokenize
-        self.stops = {x: self._bytes(self.tokenizer.encode(x, add_special_tokens=False).ids) for x in STOPS}
+        self.forget()
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
         return FEW[len(ids)](*ids) if len(ids) < len(FEW) else struct.pack(f"<{len(ids)}I", *ids)
 
     def forget(self) -> None:
-        self.known, self.again, self.held = {}, set(), 0
+        self.known, self.before, self.tails, self.held = Known(self._ids), {}, {}, 0
 
-    @staticmethod
-    def _size(parts: Collection[str]) -> int:
-        return 5 * sum(map(len, parts)) + 150 * len(parts)
-
-    def _sweep(self) -> None:
-        """Forgets the parts that came once, or all where too many came again."""
-        self.known, self.held = {x: self.known[x] for x in self.again}, self._size(self.again)
-        self.again = set()
+    def _turn(self) -> None:
+        """When what is known fills half of the memory, what was known before it and hasn't come again goes."""
         if self.held > (self.room or REMEMBERED) // 2:
-            self.forget()
-
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """The parts of the texts, all of them known afterwards."""
-        parts = [plain(x).split(" ") for x in texts]
-        if self.held > (self.room or REMEMBERED):
-            self._sweep()
-        known, pieces, stops, to_bytes = self.known, self.pieces, self.stops, self._bytes
-        seen = set().union(*parts)
-        new, others, stopped = seen.difference(known), [], []
-        self.again |= seen - new
-        for x in new:
-            if x[-1:] in STOPS:
-                stopped.append(x)
-            elif simple(x):
-                known[x] = to_bytes([t.id for t in pieces(signs(x.lower()))])
-            else:
-                others.append(x)
-        # a word before a stop is often known without it
-        for x in stopped:
-            word = x[:-1]
-            if simple(word):
-                known[x] = (known.get(word) or to_bytes([t.id for t in pieces(signs(word.lower()))])) + stops[x[-1]]
-            else:
-                others.append(x)
-        for group in _chunks(others):
-            known.update((x, self._bytes(e.ids)) for x, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True))
-        self.held += self._size(new)
-        return parts
+            self.known, self.before, self.tails, self.held = Known(self._ids), self.known, {}, 0
+
+    def _ids(self, x: str) -> bytes:
+        """Of a part that isn't known."""
+        self.held += 5 * len(x) + 150
+        found = self.before.get(x)
+        if found is None:
+            if simple(x):
+                return self._bytes([t.id for t in self.pieces(signs(x.lower()))])
+            # a word before marks is often known without them, and the marks are a piece of their own
+            word = x.rstrip(MARKS)
+            if len(word) == len(x) or not simple(word):
+                return self._bytes(self.tokenizer.encode(x, add_special_tokens=False).ids)
+            marks = x[len(word) :]
+            if (tail := self.tails.get(marks)) is None:
+                self.held += 5 * len(marks) + 150
+                tail = self.tails[marks] = self._bytes(self.tokenizer.encode(marks, add_special_tokens=False).ids)
+            found = self.known.get(word)
+            if found is None:
+                found = self.before.get(word)
+            if found is None:
+                found = self._bytes([t.id for t in self.pieces(signs(word.lower()))])
+            found += tail
+        return found
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for group in _chunks_of(texts):
-            for parts in self.learn(group):
-                yield b"".join(map(self.known.__getitem__, parts))
-
-
-def _chunks_of(texts: list[str]) -> Iterator[list[str]]:
-    out, n = [], 0
-    for x in texts:
-        out.append(x)
-        n += size(x)
-        if n >= 2 * BATCH_BYTES:
-            yield out
-            out, n = [], 0
-    if out:
-        yield out
+        for text in texts:
+            parts, out = plain(text).split(" "), []
+            for k in range(0, len(parts), BATCH_BYTES):  # a long text can't outgrow the memory either
+                self._turn()
+                out.append(b"".join(map(self.known.__getitem__, parts[k : k + BATCH_BYTES])))
+            yield out[0] if len(out) == 1 else b"".join(out)
+
+
+class Known(dict):
+    """Parts of texts with their ids; those that aren't there are asked for when they come."""
+
+    def __init__(self, ask) -> None:
+        self.ask = ask
+
+    def __missing__(self, x: str) -> bytes:
+        found = self[x] = self.ask(x)
+        return found
 
 
 @functools.cache

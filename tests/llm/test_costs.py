@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from geoweft.llm import lines
+from geoweft.llm import lines, packing
 
 
 def _alike(seed: int, alphabet: str) -> list[str]:
@@ -59,3 +60,39 @@ def test_uncovered_rows_are_those_of_a_plain_walk():
 def test_bands_of_blocks_of_any_size():
     texts = [x for seed in range(40) for x in _alike(seed, "abc é日\udc80")]
     assert (lines.bands(texts) == np.concatenate([lines.bands([x]) for x in texts])).all()
+
+
+class _Asked:
+    """A tokenizer that counts the texts it is given."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode(self, text, **more):
+        self.texts.append(text)
+        return self.tokenizer.encode(text, **more)
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_packing_asks_the_library_for_marks_once(monkeypatch):
+    e = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = [f"{a}{b}é" for a in "abcdefgh" for b in ("zu", "Ön", "ly")]
+    texts = [" ".join(w + m for w in words for m in ("###", "!!", ".***", ",", "%")) for _ in range(3)]
+    want = [np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    e.tokenizer = _Asked(e.tokenizer)
+    assert list(e.encode(texts)) == want and len(e.tokenizer.texts) <= 5
+
+
+def test_packing_of_words_with_any_marks_and_of_long_texts(monkeypatch):
+    e = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    marks = [chr(k) for k in range(33, 127) if not chr(k).isalnum()] + ["'s", "'!", "!'s", "<|", "<|endoftext|>", "<|endoftext|>!", "s'", "_1", "\u0338", "!\u0338", "\u0301", "\n!", "\xa0", "\xad", "²"]
+    texts = ["", " ", "!", " ".join(f"{w}{a}{b}" for w in ("Word", "été", "ß", "x1", "", "日本") for a in marks for b in ("", "!", "."))]
+    texts += [" ".join(f"{w}{a}{b}" for w in ("Word", "été", "ß", "") for b in ("", "!", ".")) for a in marks]
+    want = [np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert list(e.encode(texts)) == want
+    monkeypatch.setattr(packing, "BATCH_BYTES", 7)
+    monkeypatch.setattr(packing, "REMEMBERED", 2000)
+    assert list(e.encode(texts)) == want and e.held < 4000
